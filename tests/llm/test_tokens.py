@@ -1,0 +1,204 @@
+"""Encoding, packing, counts, classifier, search and chats."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from helicase.llm import bpe, chat, neighbours, packing, pretokens, quality, token_counts
+
+RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+
+
+def test_encode_as_the_library(docs, corpus, library):
+    got = {r["doc_id"]: r for r in bpe.encode(docs, RANKS, decode=True).collect()}
+    for i, t in corpus:
+        want = library.encode_ordinary(t or "")
+        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == want
+        assert got[i]["n_tokens"] == len(want) and bytes(got[i]["decoded"]) == (t or "").encode()
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(bpe.encode(docs, RANKS), RANKS).collect()}
+    assert back == {i: (t or "").encode() for i, t in corpus}
+
+
+def test_rank_queue_on_long_pretokens(library):
+    coder, _ = bpe.coder(RANKS)
+    rng = random.Random(9)
+    for word in (b"a" * 5000, bytes(rng.choice(b"abcdeth") for _ in range(20_000)), "éü漢".encode() * 900):
+        assert coder.encode(word) == library._encode_single_piece(word)
+
+
+def test_pretokens_as_the_pattern():
+    import regex
+
+    rng = random.Random(11)
+    alphabet = ["'", "s", "'s", "'ll", "re", " ", "  ", "\n", "\t", " ", "a", "Z", "é", "1", "²", "!", "-", "_", "́", "漢", "👩", "\x1c", "\x85"]
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    at = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    starts, stops = pretokens.split(data, at)
+    joined = data.tobytes()
+    assert [joined[a:b] for a, b in zip(starts, stops, strict=True)] == [m.encode() for t in texts for m in pattern.findall(t)]
+
+
+def test_table_survives_many_words():
+    table = pretokens.Encoded(lambda words: [list(w) for w in words], bits=4)
+    rng = random.Random(1)
+    for _ in range(5):
+        texts = [" ".join(str(rng.randrange(900)) for _ in range(50)).encode() for _ in range(20)]
+        at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        ids, counts = table.encode(np.frombuffer(b"".join(texts), np.uint8), at)
+        assert bytes(ids.astype(np.uint8)) == b"".join(texts) and counts.tolist() == [len(t) for t in texts]
+
+
+def test_packing(docs, corpus):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in corpus}
+    rows = packing.pack(docs, JSON, capacity=64).collect()
+    held: dict[int, dict[int, tuple[int, list[int]]]] = {}
+    bins: dict[int, list[tuple[int, int]]] = {}
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
+        held.setdefault(r["doc_id"], {})[r["piece"]] = (r["start"], ids)
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i, ids in want.items():
+        pieces = [held[i][k] for k in range(len(held[i]))]
+        assert [x for _, p in pieces for x in p] == ids
+        assert [s for s, _ in pieces] == np.cumsum([0, *[len(p) for _, p in pieces[:-1]]]).tolist()
+        assert all(len(p) == 64 for _, p in pieces[1:]) and (len(pieces) == 1 or len(ids) > 64)
+    for parts in bins.values():
+        end = 0
+        for offset, n in sorted(parts):
+            assert offset == end
+            end += n
+        assert end <= 64
+    total = sum(map(len, want.values()))
+    assert len(bins) <= 1.03 * -(-total // 64) + 1
+
+
+def test_plan_matches_large_items_and_fills_gaps():
+    rng = np.random.default_rng(3)
+    for capacity in (12, 64, 1024):
+        for _ in range(5):
+            counts = np.zeros(capacity + 1, np.int64)
+            np.add.at(counts, rng.integers(1, capacity + 1, 700), 1)
+            groups = packing.plan(counts, capacity)
+            held = np.zeros(capacity + 1, np.int64)
+            for items, many in groups:
+                assert sum(items) <= capacity and sum(n > capacity // 3 for n in items) <= 2 and many > 0
+                for n in items:
+                    held[n] += many
+            assert (held == counts).all()
+            bins = sum(many for _, many in groups)
+            assert bins <= 1.05 * max(-(-(counts * np.arange(capacity + 1)).sum() // capacity), counts[capacity // 2 + 1 :].sum()) + 1
+
+
+def test_counts(docs, corpus, library):
+    sizes = sorted(len(library.encode_ordinary(t or "")) for _, t in corpus)
+    sums = token_counts.histogram(token_counts.lengths(docs, RANKS)).cache()
+    rows = {r["n_tokens"]: r for r in sums.collect()}
+    assert sorted(rows) == sorted(set(sizes))
+    for n, r in rows.items():
+        assert r["n_docs"] == sizes.count(n)
+        assert r["docs_at_least"] == sum(s >= n for s in sizes) and r["tokens_at_least"] == sum(s for s in sizes if s >= n)
+        assert r["truncated_total"] == sum(min(s, n) for s in sizes)
+        assert r["share"] == pytest.approx(sum(s <= n for s in sizes) / len(sizes))
+    assert token_counts.total(sums) == sum(sizes)
+    for limit in (0, 1, 50, 77, 10**6):
+        assert token_counts.total(sums, limit) == sum(min(s, limit) for s in sizes)
+    assert token_counts.quantile(sums, 0.5) == sizes[-(-len(sizes) // 2) - 1]
+
+
+def test_classifier_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = quality.fit(docs, labels, sample=2500)
+    got = quality.score(docs.join(labels.select("doc_id", "quality"), "doc_id"), model).where(quality.held_out(F.col("doc_id"))).select("quality", "score", "predicted").toPandas()
+    good, bad = got[got.quality == 1], got[got.quality == 0]
+    assert (good.predicted == 1).mean() > 0.97 and (bad.predicted == 0).mean() > 0.9
+    ranks = got.score.rank()
+    auc = (ranks[got.quality == 1].sum() - len(good) * (len(good) + 1) / 2) / (len(good) * len(bad))
+    assert auc > 0.97
+
+
+def test_classifier_edges(spark, none):
+    empty_labels = spark.createDataFrame([], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, None, 0.5), (2, "", None), (None, "x y z", 1.0), (2, "a " * 5000, 2.0)], "doc_id long, text string, score double")
+    model = quality.fit(docs, empty_labels)
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.score(none, model).count() == 0
+    one_class = spark.createDataFrame([(1, 1), (2, 1), (2, None), (None, 0)], "doc_id long, quality int")
+    assert all(r["predicted"] == 1 for r in quality.score(docs, quality.fit(docs, one_class)).collect())
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 32))
+    v = np.concatenate((centres[rng.integers(0, 12, 2500)] + rng.normal(size=(2500, 32)) * 0.6, np.tile(centres[0], (900, 1)))).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9000, None), (9100, [0.0] * 32), (9200, [float("nan")] * 32), (9300, [1.0]), (9400, [None] * 32)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = neighbours.search(table, table.where("vec_id % 50 = 0")).collect()
+    found: dict[int, list] = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    w = v.astype(np.float64)
+    hits = 0
+    assert sorted(found) == list(range(0, 3400, 50))
+    for q, near in found.items():
+        near.sort()
+        assert [r for r, _, _ in near] == list(range(1, 11))
+        d = np.sqrt(((w - w[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert all(abs(s - d[i]) < 1e-9 for _, s, i in near) and [(s, i) for _, s, i in near] == sorted((s, i) for _, s, i in near)
+        hits += len({i for _, _, i in near} & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(found)
+
+
+def test_neighbours_few(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert neighbours.search(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 1.0])], schema)
+    assert [(r["query_id"], r["vec_id"]) for r in neighbours.search(two, two.where("vec_id = 0")).collect()] == [(0, 7)]
+
+
+def test_chats(spark):
+    rng = random.Random(12)
+    talks: dict[int, list[tuple[str | None, str | None]]] = {}
+    for i in range(60):
+        start = list(talks[rng.randrange(i)]) if i and rng.random() < 0.7 else []
+        start = start[: rng.randint(0, len(start))] if rng.random() < 0.5 else start
+        talks[i] = start + [(rng.choice(["user", "assistant", None]), rng.choice(["hi", "yes", "", None, "a\nb"])) for _ in range(rng.randint(0 if start else 1, 2))]
+    rows = [(i, 2 * k, r, t, "x") for i, turns in talks.items() for k, (r, t) in enumerate(turns)] + [(None, 0, "user", "lost", "x")]
+    rng.shuffle(rows)
+    got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place string")).collect()}
+    alive = {i: t for i, t in talks.items() if t}
+    want = {i: t for i, t in alive.items() if not any(u[: len(t)] == t and (len(u) > len(t) or j < i) for j, u in alive.items() if j != i)}
+    assert sorted(got) == sorted(want)
+    for i, turns in want.items():
+        assert got[i]["n_turns"] == len(turns) and got[i]["n_copies"] == sum(t == turns for t in alive.values())
+        assert got[i]["chat"] == "".join(f"{chat.START}{r if r is not None else 'unknown'}\n{t or ''}{chat.STOP}\n" for r, t in turns)
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_empty_tables(none):
+    assert bpe.encode(none, RANKS).count() == 0
+    assert packing.pack(none, JSON).count() == 0
+    assert token_counts.histogram(token_counts.lengths(none, RANKS)).count() == 0
