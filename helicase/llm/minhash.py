@@ -8,9 +8,12 @@ A document's set: its distinct word shingles, words being `[^\\x20\\x09-\\x0D]+`
 fewer words is one shingle; no words or a null text give the empty set, which is linked with nothing.
 
 Copies with the same set are collapsed by an aggregation before any pair is formed. In each band's bucket the
-members are first compared with the bucket's smallest id only; after components are known, only pairs that
-share a bucket across different components are compared. So no link between two components is lost, and no
-bucket is expanded into all its pairs.
+members are first compared with one of them only, the one whose buckets hold most members in all (in a family of edited
+copies that is the original or close to it). After components are known, pairs that share a bucket across different
+components are compared, but for those that cannot be linked: each document counts, in CLASSES classes of shingles,
+those that occur in another document still in question; the classes' smaller counts bound what two documents share, and
+a link needs 80 * (n + n') <= 180 * that bound. Members that no size in their bucket satisfies go before pairs are
+formed. So no link between two components is lost, and no bucket is expanded into all its pairs.
 
 Edge cases: an empty table gives an empty result; a repeated doc_id counts as copies; rows whose doc_id is null
 are left out; further columns, whatever their names, are ignored.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import tables, text
 
-PERMUTATIONS, ROWS = 64, 4
+PERMUTATIONS, ROWS, CLASSES = 64, 4, 32
 
 
 def shingles(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +124,61 @@ def _verify(words: int, percent: int):
     return run, "a long, b long, linked boolean"
 
 
+def _pack_shingles(words: int, buckets: int):
+    """Packed shingles by bucket: those of one document of the batch with it, those of several once, as shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, at in text.steps(batches):
+            sets, counts = shingles(data, at, words)
+            ids = batch.column("doc_id").to_numpy()
+            owner = np.repeat(np.arange(len(counts)), counts)
+            order = np.argsort(sets, kind="stable")
+            h, owner = sets[order], owner[order]
+            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+            many = np.diff(np.append(begin, len(h)))
+            several = np.repeat(many > 1, many)
+            place = owner[several] * CLASSES + (h[several] % np.uint64(CLASSES)).astype(np.int64)
+            shared = np.bincount(place, minlength=len(counts) * CLASSES)
+            h, owner, several = h[begin], ids[owner[begin]], many > 1
+            bucket = (h % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            h, owner, several, bucket = h[order], owner[order], several[order], bucket[order]
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+            pairs = list(zip(cut[:-1], cut[1:], strict=True))
+            rows = [(int(bucket[i]), h[i:j].tobytes(), owner[i:j].tobytes(), several[i:j].tobytes(), b"", b"") for i, j in pairs]
+            rows.append((int(ids[0] % buckets), b"", b"", b"", ids.tobytes(), shared.astype(np.int64).tobytes()))
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(text.binary(c) for c in columns[1:])], ["bucket", "shingles", "docs", "several", "known", "counts"])
+
+    return run, "bucket int, shingles binary, docs binary, several binary, known binary, counts binary"
+
+
+_SHARED = [f"s{c}" for c in range(CLASSES)]
+
+
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, s0, s1, ...): how many of a document's shingles of each class occur in others, bucket by bucket."""
+
+    def rows(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.ascontiguousarray(counts[:, c])) for c in range(CLASSES))], ["doc_id", *_SHARED])
+
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            known = np.frombuffer(r["known"], np.int64)
+            if len(known):
+                yield rows(known, np.frombuffer(r["counts"], np.int64).reshape(-1, CLASSES))
+            held.setdefault(r["bucket"], []).append((np.frombuffer(r["shingles"], np.uint64), np.frombuffer(r["docs"], np.int64), np.frombuffer(r["several"], bool)))
+    for bucket in list(held):
+        h, docs, several = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+        _, at = np.unique(h, return_inverse=True)
+        shared = np.bincount(at, weights=1 + several) > 1
+        ids, n = np.unique(docs[shared[at] & ~several], return_counts=True)
+        counts = np.zeros((len(ids), CLASSES), np.int64)
+        counts[:, bucket % CLASSES] = n
+        yield rows(ids, counts)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components over links of percent/100 Jaccard similarity or more.
 
@@ -132,26 +190,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
     signed = tables.keep(docs.mapInArrow(run, schema))
     sets = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = signed.where("n_shingles > 0").join(sets, (signed.doc_id == sets.rep) & (signed.set_a == sets.set_a) & (signed.set_b == sets.set_b), "left_semi").select("doc_id", F.explode("bands").alias("bucket")).distinct()
-    buckets = reps.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = tables.keep(reps.join(buckets, "bucket"))
+    sizes = reps.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = tables.keep(reps.join(sizes, "bucket"))
+    weights = shared.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weighed = shared.select("bucket", "doc_id").join(weights, "doc_id")
+    leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top")).select("bucket", (-F.col("top.id")).alias("leader"))
+    members = shared.select("bucket", "doc_id")
     verify, verified = _verify(words, percent)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return tables.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, verified))
 
-    tried = confirm(members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
+    stars = members.join(leaders, "bucket").where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
+    tried = confirm(stars, docs)
     links = tried.where("linked").select("a", "b")
     found = tables.components(links)
     labelled = tables.keep(members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    open_members = labelled.join(mixed, "bucket", "left_semi")
-    other = open_members.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-    across = open_members.withColumnRenamed("doc_id", "a").join(other, "bucket").where("component < component_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = tables.keep(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        found = tables.components(links.union(confirm(across).where("linked").select("a", "b")))
+    open_members = tables.keep(labelled.join(mixed, "bucket", "left_semi").join(signed.select("doc_id", "n_shingles"), "doc_id"))
+    if not open_members.isEmpty():
+        texts = tables.keep(docs.join(open_members.select("doc_id").distinct(), "doc_id", "left_semi"))
+        # a multiple of the classes, so that a bucket's shingles are of one class
+        pack, packed = _pack_shingles(words, CLASSES * -(-4 * tables.shuffle_partitions(docs.sparkSession) // CLASSES))
+        common = texts.mapInArrow(pack, packed).repartition("bucket").mapInArrow(_count_shared, "doc_id long, " + ", ".join(f"{c} long" for c in _SHARED))
+        common = common.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in _SHARED))
+        # the most shingles that a linked partner can have
+        reach = F.floor(sum((F.col(c) for c in _SHARED), F.lit(0)) * (100 + percent) / percent) - F.col("n_shingles")
+        able = open_members.join(common, "doc_id").withColumn("reach", reach)
+        least = able.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+        able = tables.keep(able.join(least, "bucket").where(F.col("reach") >= F.greatest(F.col("least"), F.ceil(F.col("n_shingles") * percent / 100))).select("bucket", "doc_id", "component", "n_shingles", "reach", *_SHARED))
+        # of two components that share a bucket one isn't its largest: that side alone is the join's left
+        held = able.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top")).select("bucket", F.col("top.component").alias("largest"))
+        minor = able.join(held, "bucket").where("component <> largest").drop("largest")
+        other = able.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n_shingles", "reach", *_SHARED)))
+        bound = " + ".join(f"least({c}, {c}_b)" for c in _SHARED)
+        fits = f"component <> component_b and n_shingles <= reach_b and n_shingles_b <= reach and {100 + percent} * ({bound}) >= {percent} * (n_shingles + n_shingles_b)"
+        across = minor.join(other, F.expr(f"bucket = bucket_b and {fits}"))
+        across = across.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")).distinct()
+        more = confirm(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts).where("linked").select("a", "b")
+        found = tables.components(links.union(more))
     classes = sets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     rows_of = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
