@@ -6,7 +6,9 @@ Earlier means a smaller doc_id, or an earlier start in the same document. Steps:
    have equal keys, and neighbouring starts mostly share one, so a document is a row of windows (starts lo..lo+n-1 with
    one key), about one for 33 bytes. Keys that occur once hold no repeat. A bit table of fixed size, made from the keys'
    counts, tells the windows that may.
-2. Windows with the same bytes are collapsed to the first of them by an aggregation; all others are repeats whole.
+2. Windows with the same bytes are collapsed to the first of them by an aggregation of their hashes; all others are
+   repeats whole. Texts of windows travel only from here on, and only for first windows whose key has others; they are
+   cut from the documents' segments, in which overlapping windows are stored once.
 3. The first windows are dealt by their key. Each task sorts the suffixes that start in its windows by two-stage sorting
    (only those smaller than their successors are sorted directly, the rest are induced by a scan over buckets of first
    bytes) and computes common prefixes of neighbours; starts whose neighbours agree on `size` bytes are equal strings,
@@ -57,7 +59,7 @@ def windows(data: np.ndarray, at: np.ndarray, size: int, gram: int) -> tuple[np.
     least = _slide_min(grams, size - gram + 1)
     last = np.repeat(at[1:], np.diff(at))[: len(least)] - size
     start = np.flatnonzero(np.arange(len(least)) <= last)
-    key = least[start]
+    key = text.mix(least[start], 3)  # least values are small numbers; their bits are spread anew
     row = text.row_of(start, at)
     fresh = np.ones(len(start), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
@@ -74,7 +76,7 @@ def windows(data: np.ndarray, at: np.ndarray, size: int, gram: int) -> tuple[np.
 def _repeats_inside(lo: np.ndarray, many: np.ndarray, key: np.ndarray, grams: np.ndarray, width: int) -> np.ndarray:
     """Windows that hold their least gram at two places or more: only those can repeat a string within themselves."""
     length = many + width - 1
-    same = grams[text.ranges(lo, length)] == np.repeat(key, length)
+    same = text.mix(grams[text.ranges(lo, length)], 3) == np.repeat(key, length)
     return np.add.reduceat(same, np.cumsum(length) - length) > 1 if len(lo) else np.empty(0, bool)
 
 
@@ -112,8 +114,12 @@ def _mark(table_bits: int, bucket_bits: int):
     return run, "bucket int, slots binary"
 
 
+_FOUND = "doc_id long, lo long, n long, key long, inside boolean, same long, body binary"
+
+
 def _candidates(size: int, gram: int, table_bits: int, table):
-    schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("inside", pa.bool_()), ("same", pa.int64()), ("body", pa.binary())])
+    """Windows whose key may repeat, without a body, and the segments that they cover, without a key."""
+    names = ["doc_id", "lo", "n", "key", "inside", "same", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -126,13 +132,40 @@ def _candidates(size: int, gram: int, table_bits: int, table):
                 continue
             row, lo, many, key = row[use], lo[use], many[use], key[use]
             inside = _repeats_inside(lo, many, key, grams, size - gram + 1)
-            length = many + size - 1
-            same = text.Poly(data).of(lo, lo + length, 40)
+            end = lo + many + size - 1
+            same = text.Poly(data).of(lo, end, 40)
+            none = lambda kind, n: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array(lo - at[row]), pa.array(many), pa.array(key.view(np.int64)), pa.array(inside), pa.array(same.view(np.int64)), none(pa.binary(), len(row))], names)
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = (row[1:] != row[:-1]) | (lo[1:] > end[:-1])
+            first = np.flatnonzero(fresh)
+            stop = end[np.append(first[1:], len(row)) - 1]
+            row, lo = row[first], lo[first]
+            ends = np.concatenate(([0], np.cumsum(stop - lo)))
+            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(ends), pa.py_buffer(data[text.ranges(lo, stop - lo)])]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array(lo - at[row]), pa.array(stop - lo), none(pa.int64(), len(row)), none(pa.bool_(), len(row)), none(pa.int64(), len(row)), body], names)
+
+    return run
+
+
+def _bodies(size: int):
+    """The wanted windows' texts, cut from segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, at in text.steps(batches, column="body"):
+            wanted = batch.column("wanted")
+            flat = wanted.flatten()
+            row = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            lo, many = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "n"))
+            base = batch.column("seg").to_numpy()[row]
+            use = np.flatnonzero((lo >= base) & (lo + many + size - 1 <= base + np.diff(at)[row]))
+            row, start, length = row[use], at[row[use]] + lo[use] - base[use], many[use] + size - 1
             ends = np.concatenate(([0], np.cumsum(length)))
-            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(ends), pa.py_buffer(data[text.ranges(lo, length)])]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array(lo - at[row]), pa.array(many.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(inside), pa.array(same.view(np.int64)), body], schema=schema)
+            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(use), [None, pa.py_buffer(ends), pa.py_buffer(data[text.ranges(start, length)])]).cast(pa.binary())
+            pick = pa.array(use)
+            yield pa.RecordBatch.from_arrays([flat.field("key").take(pick), flat.field("n").take(pick), batch.column("doc_id").take(pa.array(row)), flat.field("lo").take(pick), flat.field("inside").take(pick), flat.field("hot").take(pick), body], ["key", "n", "doc_id", "lo", "inside", "hot", "body"])
 
-    return run, "doc_id long, lo long, n int, key long, inside boolean, same long, body binary"
+    return run, "key long, n long, doc_id long, lo long, inside boolean, hot boolean, body binary"
 
 
 def two_stage_sort(codes: np.ndarray, take: np.ndarray, depth: int) -> np.ndarray:
@@ -320,17 +353,23 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFra
         slots = np.frombuffer(row["slots"], np.uint32)
         np.bitwise_or.at(bits, slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
     table = spark.sparkContext.broadcast(bits)
-    candidates, shape = _candidates(size, gram, TABLE_BITS, table)
-    found = tables.keep(docs.mapInArrow(candidates, shape))
-    firsts = tables.keep(found.groupBy("key", "same", "n").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.first("inside").alias("inside"), F.first("body").alias("body")).select("key", "same", "n", "first.doc_id", "first.lo", "inside", "body"))
-    again = found.select("key", "same", "n", "doc_id", "lo").join(firsts.select("key", "same", "n", F.col("doc_id").alias("d"), F.col("lo").alias("l")), ["key", "same", "n"]).where("doc_id <> d or lo <> l")
+    found = tables.keep(docs.mapInArrow(_candidates(size, gram, TABLE_BITS, table), _FOUND))
+    thin = found.where("key is not null").select("key", "same", "n", "doc_id", "lo", "inside")
+    firsts = tables.keep(thin.groupBy("key", "same", "n").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max("inside").alias("inside"), F.count("*").alias("copies")).select("key", "same", "n", "first.doc_id", "first.lo", "inside", "copies"))
+    copied = firsts.where("copies > 1").select("key", "same", "n", F.col("doc_id").alias("d"), F.col("lo").alias("l"))
+    again = thin.join(copied, ["key", "same", "n"]).where("doc_id <> d or lo <> l")
     spans = again.select("doc_id", "lo", (F.col("lo") + F.col("n") - 1 + size).alias("hi"))
-    hot = tables.keep(firsts.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > HOT).select("key"))
-    cold = firsts.join(hot, "key", "left_anti").select("key", "n", "doc_id", "lo", "inside", "body")
+    kinds = firsts.groupBy("key").agg(F.count("*").alias("kinds"), F.max("inside").alias("any")).where("kinds > 1 or any").select("key", (F.col("kinds") > HOT).alias("hot"))
+    wanted = firsts.join(kinds, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "n", "lo", "inside", "hot")).alias("wanted"))
+    bodies, cut = _bodies(size)
+    segments = found.where("key is null").select("doc_id", F.col("lo").alias("seg"), "body")
+    texts = tables.keep(segments.join(wanted, "doc_id").select("doc_id", "seg", "body", "wanted").mapInArrow(bodies, cut))
+    cold = texts.where("not hot").select("key", "n", "doc_id", "lo", "inside", "body")
     spans = spans.union(cold.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_windows(size), "doc_id long, lo long, hi long"))
+    hot = texts.where("hot")
     if not hot.isEmpty():
         positions, placed = _positions(size)
-        each = tables.keep(firsts.join(hot, "key", "left_semi").select("n", "doc_id", "lo", "body").mapInArrow(positions, placed))
+        each = tables.keep(hot.select("n", "doc_id", "lo", "body").mapInArrow(positions, placed))
         least = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("many")).where("many > 1").select("a", "b", "first")
         repeated = each.join(least, ["a", "b"]).where(F.struct("doc_id", "lo") > F.col("first"))
         spans = spans.union(repeated.select("doc_id", "lo", (F.col("lo") + size).alias("hi")))
