@@ -164,7 +164,7 @@ def _blocks(min_chars: int, shards: int):
     """Packed probes: for each step of text and shard, the line hashes with their documents and line numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in text.steps(batches, 4 * text.STEP_BYTES):
+        for batch, data, at in text.steps(batches):
             row, line, h, _ = line_keys(data, at, min_chars)
             docs = batch.column("doc_id").cast(pa.int64())
             there = docs.is_valid().to_numpy(zero_copy_only=False)[row]
@@ -224,7 +224,8 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     probed = pair.mapInArrow(blocks, blocked).join(arrays.drop("counts"), "shard").mapInArrow(_probe, "doc_id long, numbers array<int>")
     gone = tables.keep(probed.groupBy("doc_id").agg(F.flatten(F.collect_list("numbers")).alias("__gone")))
     names = docs.columns
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").cast("long") == F.col("__doc"), "left").select(*(docs[c] for c in names), "__gone")
+    # the dropped lines' table grows with the documents, so it is never broadcast
+    joined = docs.join(gone.withColumnRenamed("doc_id", "__doc").hint("merge"), F.col("doc_id").cast("long") == F.col("__doc"), "left").select(*(docs[c] for c in names), "__gone")
     return joined.mapInArrow(_rebuild(names), _rebuilt_schema(docs))
 
 
