@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
         across = minor.join(other, F.expr(f"bucket = bucket_b and {fits}"))
         across = across.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")).distinct()
         more = confirm(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts).where("linked").select("a", "b")
-        found = tables.components(links.union(more))
+        found = tables.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b").union(more))
     classes = sets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     rows_of = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
