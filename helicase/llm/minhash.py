@@ -156,27 +156,52 @@ def _pack_shingles(words: int, buckets: int):
 _SHARED = [f"s{c}" for c in range(CLASSES)]
 
 
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, s0, s1, ...): how many of a document's shingles of each class occur in others, bucket by bucket."""
+def _count_shared(parts: int):
+    """Packed (target, class, docs, counts): how many of the documents' shingles of a class occur in others, bucket by bucket."""
 
-    def rows(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.ascontiguousarray(counts[:, c])) for c in range(CLASSES))], ["doc_id", *_SHARED])
+    def deal(kind: int, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        target = (text.mix(ids.astype(np.uint64), 8) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(target, kind="stable")
+        target, ids, counts = target[order], ids[order], counts[order]
+        cut = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1], [True]))) if len(ids) else np.zeros(1, np.int64)
+        pairs = list(zip(cut[:-1], cut[1:], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(target[cut[:-1]]), pa.array([kind] * len(pairs), pa.int32()), text.binary([ids[i:j].tobytes() for i, j in pairs]), text.binary([counts[i:j].tobytes() for i, j in pairs])], ["target", "class", "docs", "counts"])
 
-    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                known = np.frombuffer(r["known"], np.int64)
+                if len(known):
+                    yield deal(-1, known, np.frombuffer(r["counts"], np.int64).reshape(-1, CLASSES))
+                held.setdefault(r["bucket"], []).append((np.frombuffer(r["shingles"], np.uint64), np.frombuffer(r["docs"], np.int64), np.frombuffer(r["several"], bool)))
+        for bucket in list(held):
+            h, docs, several = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+            _, at = np.unique(h, return_inverse=True)
+            shared = np.bincount(at, weights=1 + several) > 1
+            yield deal(bucket % CLASSES, *np.unique(docs[shared[at] & ~several], return_counts=True))
+
+    return run, "target int, class int, docs binary, counts binary"
+
+
+def _sum_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, s0, s1, ...), one row for each document."""
+    held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for r in batch.to_pylist():
-            known = np.frombuffer(r["known"], np.int64)
-            if len(known):
-                yield rows(known, np.frombuffer(r["counts"], np.int64).reshape(-1, CLASSES))
-            held.setdefault(r["bucket"], []).append((np.frombuffer(r["shingles"], np.uint64), np.frombuffer(r["docs"], np.int64), np.frombuffer(r["several"], bool)))
-    for bucket in list(held):
-        h, docs, several = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
-        _, at = np.unique(h, return_inverse=True)
-        shared = np.bincount(at, weights=1 + several) > 1
-        ids, n = np.unique(docs[shared[at] & ~several], return_counts=True)
-        counts = np.zeros((len(ids), CLASSES), np.int64)
-        counts[:, bucket % CLASSES] = n
-        yield rows(ids, counts)
+            held.setdefault(r["target"], []).append((r["class"], np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.int64)))
+    for target in list(held):
+        parts = held.pop(target)
+        ids, at = np.unique(np.concatenate([d for _, d, _ in parts]), return_inverse=True)
+        total, start = np.zeros((len(ids), CLASSES), np.int64), 0
+        for kind, docs, counts in parts:
+            place = at[start : start + len(docs)]
+            start += len(docs)
+            if kind < 0:
+                np.add.at(total, place, counts.reshape(-1, CLASSES))
+            else:
+                np.add.at(total, (place, kind), counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.ascontiguousarray(total[:, c])) for c in range(CLASSES))], ["doc_id", *_SHARED])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
@@ -201,7 +226,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
     def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return tables.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, verified))
+        # pairs grow with the documents: merged at every size, never broadcast
+        return tables.keep(pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, verified))
 
     stars = members.join(leaders, "bucket").where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     tried = confirm(stars, docs)
@@ -211,11 +237,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     open_members = tables.keep(labelled.join(mixed, "bucket", "left_semi").join(signed.select("doc_id", "n_shingles"), "doc_id"))
     if not open_members.isEmpty():
-        texts = tables.keep(docs.join(open_members.select("doc_id").distinct(), "doc_id", "left_semi"))
+        texts = tables.keep(docs.join(open_members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
         # a multiple of the classes, so that a bucket's shingles are of one class
         pack, packed = _pack_shingles(words, CLASSES * -(-4 * tables.shuffle_partitions(docs.sparkSession) // CLASSES))
-        common = texts.mapInArrow(pack, packed).repartition("bucket").mapInArrow(_count_shared, "doc_id long, " + ", ".join(f"{c} long" for c in _SHARED))
-        common = common.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in _SHARED))
+        count, counted = _count_shared(tables.shuffle_partitions(docs.sparkSession))
+        common = texts.mapInArrow(pack, packed).repartition("bucket").mapInArrow(count, counted).repartition("target").mapInArrow(_sum_shared, "doc_id long, " + ", ".join(f"{c} long" for c in _SHARED))
         # the most shingles that a linked partner can have
         reach = F.floor(sum((F.col(c) for c in _SHARED), F.lit(0)) * (100 + percent) / percent) - F.col("n_shingles")
         able = open_members.join(common, "doc_id").withColumn("reach", reach)
