@@ -26,7 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the smallest doc_id stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").hint("merge")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
