@@ -64,16 +64,16 @@ rb AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS read_idx, concat('o
 
 
 def _uniques(reads: str) -> str:
-    return f"""u AS (SELECT row_number() OVER (ORDER BY cnt DESC, length(seq), seq) - 1 AS uid, seq, cnt, members FROM (
+    return f"""u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cnt DESC, length(seq), seq) - 1 AS uid, seq, cnt, members FROM (
   SELECT seq, CAST(sum(greatest(cnt, 1)) AS BIGINT) AS cnt, string_agg(read_idx, ',' ORDER BY read_idx) AS members FROM {reads} GROUP BY seq))"""
 
 
 def _counts(table: str, key: str, name: str = "km") -> str:
-    return f"""{name} AS (SELECT {key}, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer, count(*) AS c FROM (
+    return f"""{name} AS MATERIALIZED (SELECT {key}, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer, count(*) AS c FROM (
   SELECT {key}, unnest(list_transform(range(1, length(seq) - {K - 2}), lambda i: substr(seq, i, {K}))) AS w FROM {table}) GROUP BY ALL)"""
 
 
-_NORMS = "n AS (SELECT uid, CAST(sum(c * c) AS BIGINT) AS q, CAST(sum(c) AS BIGINT) AS t FROM km GROUP BY uid)"
+_NORMS = "n AS MATERIALIZED (SELECT uid, CAST(sum(c * c) AS BIGINT) AS q, CAST(sum(c) AS BIGINT) AS t FROM km GROUP BY uid)"
 _DISTANCES = """ds AS (SELECT ua, ub, a.q + b.q - 2 * dot AS sq, a.t + b.t AS tt FROM (
   SELECT a.uid AS ua, b.uid AS ub, CAST(sum(a.c * b.c) AS BIGINT) AS dot FROM km a JOIN km b ON a.kmer = b.kmer AND a.uid < b.uid GROUP BY ALL)
   JOIN n a ON a.uid = ua JOIN n b ON b.uid = ub)"""
@@ -90,7 +90,7 @@ walk(i, acc) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
   SELECT g.i, CASE WHEN g.low IS NULL OR NOT list_has_any(g.low, acc) THEN list_append(acc, g.uid) ELSE acc END FROM walk JOIN g ON g.i = walk.i + 1),
 chosen AS (SELECT unnest(acc) AS uid FROM (SELECT acc FROM walk ORDER BY i DESC LIMIT 1) UNION ALL
   SELECT uid FROM el WHERE uid NOT IN (SELECT ua FROM e UNION SELECT ub FROM e)),
-tp AS (SELECT row_number() OVER (ORDER BY uid) - 1 AS tid, uid, seq, cnt FROM u JOIN chosen USING (uid))"""
+tp AS MATERIALIZED (SELECT row_number() OVER (ORDER BY uid) - 1 AS tid, uid, seq, cnt FROM u JOIN chosen USING (uid))"""
 
 
 # queries ------------------------------------------------------------------------------------------------------------
@@ -166,7 +166,8 @@ def corrected_distance_normalized(spark, sf):
 
 
 def neighbour_pairs(spark, sf):
-    return neighbours.pairs(_u(reads_b(spark, sf)), K, 1.0)
+    """Among the sequences that are eligible as templates."""
+    return neighbours.pairs(_u(reads_b(spark, sf)).where("cnt >= 2"), K, 1.0)
 
 
 def fad_templates(spark, sf):
@@ -379,8 +380,8 @@ mo AS (SELECT cluster_id, kmer, sum(c) AS s, sum(c * c) AS ss, any_value(n) AS n
 _FAD_B = f"""{_BU}, lg AS (SELECT uid, kmer, c FROM km), {_greedy(
     "SELECT ua, ub FROM (SELECT a.uid AS ua, b.uid AS ub, CAST(sum(a.c * b.c) AS BIGINT) AS dot FROM km a JOIN km b ON a.kmer = b.kmer AND a.uid < b.uid WHERE a.uid IN (SELECT uid FROM u WHERE cnt >= 2) AND b.uid IN (SELECT uid FROM u WHERE cnt >= 2) GROUP BY ALL) JOIN n a ON a.uid = ua JOIN n b ON b.uid = ub WHERE a.q + b.q - 2 * dot <= 12",
     "SELECT uid FROM u WHERE cnt >= 2")}"""
-_ASSIGN = """tk AS (SELECT tid, kmer, c FROM km JOIN tp USING (uid)), tn AS (SELECT tid, q FROM n JOIN tp USING (uid)),
-dt AS (SELECT km.uid, tk.tid, CAST(sum(km.c * tk.c) AS BIGINT) AS dot FROM km JOIN tk USING (kmer) GROUP BY ALL),
+_ASSIGN = """tk AS MATERIALIZED (SELECT tid, kmer, c FROM km JOIN tp USING (uid)), tn AS (SELECT tid, q FROM n JOIN tp USING (uid)),
+dt AS MATERIALIZED (SELECT km.uid, tk.tid, CAST(sum(km.c * tk.c) AS BIGINT) AS dot FROM km JOIN tk USING (kmer) GROUP BY ALL),
 nd AS (SELECT n.uid, tn.tid, n.q + tn.q - 2 * coalesce(dot, 0) AS sq FROM n CROSS JOIN tn LEFT JOIN dt ON dt.uid = n.uid AND dt.tid = tn.tid),
 asg AS (SELECT uid, tid FROM (SELECT uid, tid, row_number() OVER (PARTITION BY uid ORDER BY sq, tid) AS r FROM nd) WHERE r = 1)"""
 _SLOTS = f"""{_A}, {_uniques('ra')}, {_counts('u', 'uid')},
@@ -413,7 +414,8 @@ array_to_string(list_transform(range(0, CAST(ceil(length(seq) / 80) AS BIGINT)),
     "kmer_norms": f"{_BU} SELECT uid, q, t FROM n",
     "corrected_distance_full": f"{_ABASE} SELECT ua, ub, sq FROM ds WHERE sq <= 150",
     "corrected_distance_normalized": f"{_ABASE} SELECT ua, ub, round(sq / ({K} * tt), 9) AS d FROM ds WHERE sq <= 150",
-    "neighbour_pairs": f"""{_BU} SELECT ua, ub, a.q + b.q - 2 * dot AS sq FROM (SELECT a.uid AS ua, b.uid AS ub, CAST(sum(a.c * b.c) AS BIGINT) AS dot FROM km a JOIN km b ON a.kmer = b.kmer AND a.uid < b.uid GROUP BY ALL)
+    "neighbour_pairs": f"""{_BU}, m AS (SELECT km.* FROM km JOIN u USING (uid) WHERE cnt >= 2)
+SELECT ua, ub, a.q + b.q - 2 * dot AS sq FROM (SELECT a.uid AS ua, b.uid AS ub, CAST(sum(a.c * b.c) AS BIGINT) AS dot FROM m a JOIN m b ON a.kmer = b.kmer AND a.uid < b.uid GROUP BY ALL)
 JOIN n a ON a.uid = ua JOIN n b ON b.uid = ub WHERE a.q + b.q - 2 * dot <= 12""",
     "fad_templates": f"{_FAD_B} SELECT tid, uid, cnt FROM tp",
     "fad_templates_wide": f"{_ABASE}, {_greedy('SELECT ua, ub FROM ds WHERE sq <= 144', 'SELECT uid FROM u')} SELECT tid, uid, cnt FROM tp",
