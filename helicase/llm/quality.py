@@ -31,8 +31,10 @@ PLACES, THRESHOLD = 1 << 18, 0.3
 
 @dataclass
 class Model:
-    ratio: np.ndarray
-    weight: np.ndarray
+    """For each place: `joint`, log-count ratio times weight, and `square`, the ratio's square."""
+
+    joint: np.ndarray
+    square: np.ndarray
     bias: float
     slope: float
     shift: float
@@ -94,26 +96,35 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), text.binary(found)], ["doc_id", "label", "features"])
 
 
-def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 15) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss; the last weight is the bias."""
-    w, bias, alpha = np.zeros(PLACES), 0.0, np.zeros(len(rows))
-    norm = np.array([v @ v + 1.0 for v in values])
+def _length(square: np.ndarray, row: np.ndarray) -> float:
+    return max(np.sqrt(square[row].sum(dtype=np.float64)), 1e-12)
+
+
+def _descend(rows: list[np.ndarray], square: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 15) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the hinge loss over rows of unit length; gives ratios times weights, and the bias.
+
+    A row's values are the ratios of its places over its length. With the products kept in place of the weights no row's
+    values are ever stored: their sum over a row's places is its margin, and a step adds squared ratios.
+    """
+    joint, bias, alpha = np.zeros(PLACES), 0.0, np.zeros(len(rows))
+    length = np.array([_length(square, f) for f in rows])
+    norm = np.array([square[f].sum() for f in rows]) / length**2 + 1.0
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            f, v = rows[i], values[i]
-            slope = y[i] * (w[f] @ v + bias) - 1
+            f = rows[i]
+            slope = y[i] * (joint[f].sum() / length[i] + bias) - 1
             new = min(max(alpha[i] - slope / norm[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             if step:
                 alpha[i] = new
-                w[f] += step * v
+                joint[f] += step / length[i] * square[f]
                 bias += step
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w, bias
+    return joint, bias
 
 
 def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -137,22 +148,14 @@ def _fit_rows(rows: list[np.ndarray], label: np.ndarray, cost: float = 4.0) -> M
         for i in part:
             counts[label[i]][rows[i]] += 1
         counts /= counts.sum(1, keepdims=True)
-        ratio = np.log(counts[1] / counts[0])
-        values = []
-        for i in part:
-            v = ratio[rows[i]]
-            values.append(v / max(np.sqrt(v @ v), 1e-12))
+        square = np.log(counts[1] / counts[0]) ** 2
         share = label[part].mean()
         weight = np.where(label[part] == 1, 0.5 / share, 0.5 / (1 - share)) * cost
-        w, bias = _descend([rows[i] for i in part], values, np.where(label[part] == 1, 1.0, -1.0), weight)
-        return ratio, w, bias
+        joint, bias = _descend([rows[i] for i in part], square, np.where(label[part] == 1, 1.0, -1.0), weight)
+        return joint, square, bias
 
-    def margins(part: np.ndarray, ratio: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
-        out = []
-        for i in part:
-            v = ratio[rows[i]]
-            out.append(w[rows[i]] @ v / max(np.sqrt(v @ v), 1e-12) + bias)
-        return np.array(out)
+    def margins(part: np.ndarray, joint: np.ndarray, square: np.ndarray, bias: float) -> np.ndarray:
+        return np.array([joint[rows[i]].sum() / _length(square, rows[i]) + bias for i in part])
 
     everything = np.arange(len(rows))
     if len(set(label.tolist())) < 2:
@@ -166,16 +169,16 @@ def _fit_rows(rows: list[np.ndarray], label: np.ndarray, cost: float = 4.0) -> M
         if len(test) and len(set(label[train].tolist())) == 2:
             out.append(margins(test, *fit(train)))
             truth.append(label[test])
-    ratio, w, bias = fit(everything)
+    joint, square, bias = fit(everything)
     slope, shift = _logistic(np.concatenate(out), np.concatenate(truth)) if out else (4.0, 0.0)
-    return Model(ratio.astype(np.float32), w.astype(np.float32), bias, slope, shift)
+    return Model(joint.astype(np.float32), square.astype(np.float32), bias, slope, shift)
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task: it holds at most SAMPLE rows of features."""
     got = sorted((r["doc_id"], r["label"], r["features"]) for b in batches for r in b.to_pylist())
     model = _fit_rows([np.frombuffer(f, np.int32) for _, _, f in got], np.array([y for _, y, _ in got], np.int64))
-    yield pa.RecordBatch.from_arrays([text.binary([model.ratio.tobytes()]), text.binary([model.weight.tobytes()]), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.shift))], ["ratio", "weight", "bias", "slope", "shift"])
+    yield pa.RecordBatch.from_arrays([text.binary([model.joint.tobytes()]), text.binary([model.square.tobytes()]), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.shift))], ["joint", "square", "bias", "slope", "shift"])
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -189,10 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    model = rows.select("doc_id", "label", "text").mapInArrow(_examples, "doc_id long, label int, features binary").repartition(1).mapInArrow(_fit, "ratio binary, weight binary, bias double, slope double, shift double").first()
+    model = rows.select("doc_id", "label", "text").mapInArrow(_examples, "doc_id long, label int, features binary").repartition(1).mapInArrow(_fit, "joint binary, square binary, bias double, slope double, shift double").first()
     if model is None:
         return _fit_rows([], np.empty(0, np.int64))
-    return Model(np.frombuffer(model["ratio"], np.float32), np.frombuffer(model["weight"], np.float32), model["bias"], model["slope"], model["shift"])
+    return Model(np.frombuffer(model["joint"], np.float32), np.frombuffer(model["square"], np.float32), model["bias"], model["slope"], model["shift"])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -202,9 +205,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        joint, square = m.ratio * m.weight, m.ratio * m.ratio
         for batch, data, at in text.steps(batches):
-            margin = np.array([joint[f].sum(dtype=np.float64) / max(np.sqrt(square[f].sum(dtype=np.float64)), 1e-12) for f in _features(data, at)])
+            margin = np.array([m.joint[f].sum(dtype=np.float64) / _length(m.square, f) for f in _features(data, at)])
             p = 1 / (1 + np.exp(-np.clip(m.slope * (margin + m.bias) + m.shift, -500, 500)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
