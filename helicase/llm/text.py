@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one step holds at once; a longer document makes a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
