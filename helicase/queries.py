@@ -198,25 +198,29 @@ def sketch_signatures(spark, sf):
     return sketch.signatures(_u(reads_a(spark, sf)), "uid", K, 128).select("uid", F.array_join("sig", ",").alias("sig"))
 
 
-def _slot_pairs(spark, sf):
-    slots = keep(sketch.slots(_u(reads_a(spark, sf)).where("uid < 120"), "uid", K, 32, hash_name="md5"))
+def _slot_pairs(u: DataFrame) -> DataFrame:
+    """(ua, ub, x, y): the signatures of all pairs that share a filled slot."""
+    slots = keep(sketch.slots(u, "uid", K, 32, hash_name="md5").select("uid", "bin", "low"))
     # the number of slots is fixed, so arrays are comparable; an empty slot has -1
     every = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(-1)))
-    sig = slots.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("bin", "low"))).alias("m")).select("uid", every.alias("sig"))
-    pairs = sig.select(F.col("uid").alias("ua"), F.col("sig").alias("x")).join(sig.select(F.col("uid").alias("ub"), F.col("sig").alias("y")), F.expr("ua < ub"))
-    return pairs
+    sig = keep(slots.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("bin", "low"))).alias("m")).select("uid", every.alias("sig")))
+    pairs = slots.withColumnRenamed("uid", "ua").join(slots.withColumnRenamed("uid", "ub"), ["bin", "low"]).where("ua < ub").select("ua", "ub").distinct()
+    return pairs.join(sig.select(F.col("uid").alias("ua"), F.col("sig").alias("x")), "ua").join(sig.select(F.col("uid").alias("ub"), F.col("sig").alias("y")), "ub")
 
 
 def sketch_distances(spark, sf):
-    """Of the 120 most abundant sequences of a small signature: every pair's distance."""
-    p = _slot_pairs(spark, sf)
+    """Distances by a small signature, of all pairs that share a slot."""
+    p = _slot_pairs(_u(reads_a(spark, sf)))
     return p.select("ua", "ub", M.hamming_fraction(F.col("x"), F.col("y")).alias("h"), F.round(M.SketchDistance.BINDASH.column(F.col("x"), F.col("y"), K), 9).alias("d"))
 
 
 def sketch_candidates(spark, sf):
-    """Best of the 5 nearest by signature, with the squared distance as the last word."""
-    p = _slot_pairs(spark, sf).where("ua < 20 and ub >= 20").select(F.col("ub").alias("uid"), F.col("ua").alias("tid"), F.round(M.SketchDistance.BINDASH.column(F.col("x"), F.col("y"), K), 9).alias("d"))
-    counted = keep(kmers.counts(_u(reads_a(spark, sf)), "uid", K))
+    """For each sequence of abundance 1 or 2, the best of the 5 more abundant ones nearest by signature, with the squared distance as the last word."""
+    u = keep(_u(reads_a(spark, sf)).select("uid", "seq", "cnt"))
+    p = _slot_pairs(u).join(u.where("cnt >= 3").select(F.col("uid").alias("ua")), "ua", "left_semi").join(u.where("cnt < 3").select(F.col("uid").alias("ub")), "ub", "left_semi")
+    p = p.select(F.col("ub").alias("uid"), F.col("ua").alias("tid"), F.round(M.SketchDistance.BINDASH.column(F.col("x"), F.col("y"), K), 9).alias("d"))
+    p = keep(p.withColumn("r", F.row_number().over(Window.partitionBy("uid").orderBy("d", "tid"))).where("r <= 5").drop("r"))
+    counted = keep(kmers.counts(u, "uid", K))
     norm = kmers.norms(counted, "uid").select("uid", "q")
     pair = p.select("uid", "tid")
     dot = pair.join(counted, "uid").join(counted.select(F.col("uid").alias("tid"), "kmer", F.col("c").alias("ct")), ["tid", "kmer"], "left").groupBy("uid", "tid").agg(F.sum(F.coalesce(F.col("c") * F.col("ct"), F.lit(0))).alias("dot"))
@@ -225,7 +229,7 @@ def sketch_candidates(spark, sf):
 
 
 def even_sample(spark, sf):
-    sizes = _table(spark, sf, "documents").select(F.col("doc_id").alias("n")).where("n between 1 and 150")
+    sizes = _table(spark, sf, "documents").select(F.col("doc_id").alias("n")).where("n >= 1")
     rows = sizes.crossJoin(spark.range(7).select((F.col("id") + 1).alias("m")))  # 7 rows on one side
     rows = rows.select("n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", "m") - 1)).alias("i"))
     index = F.coalesce(*[F.when(F.col("m") == m, S.even_index(F.col("i"), F.col("n"), m)) for m in range(1, 8)])
@@ -386,9 +390,10 @@ nd AS (SELECT n.uid, tn.tid, n.q + tn.q - 2 * coalesce(dot, 0) AS sq FROM n CROS
 asg AS (SELECT uid, tid FROM (SELECT uid, tid, row_number() OVER (PARTITION BY uid ORDER BY sq, tid) AS r FROM nd) WHERE r = 1)"""
 _SLOTS = f"""{_A}, {_uniques('ra')}, {_counts('u', 'uid')},
 hh AS (SELECT uid, ('0x' || substr(md5(kmer), 1, 8))::BIGINT AS h FROM km)"""
-_SIGS = f"""{_SLOTS}, sl AS (SELECT uid, h % 32 AS bin, min(h) AS low FROM hh WHERE uid < 120 GROUP BY ALL),
-sg AS (SELECT a.uid AS ua, b.uid AS ub, (SELECT count(*) FROM range(32) r(i) LEFT JOIN sl x ON x.uid = a.uid AND x.bin = i LEFT JOIN sl y ON y.uid = b.uid AND y.bin = i
-  WHERE coalesce(x.low, -1) <> coalesce(y.low, -1)) / 32 AS h FROM (SELECT DISTINCT uid FROM sl) a JOIN (SELECT DISTINCT uid FROM sl) b ON a.uid < b.uid),
+_SIGS = f"""{_SLOTS}, sl AS MATERIALIZED (SELECT uid, h % 32 AS bin, min(h) AS low FROM hh GROUP BY ALL),
+fl AS MATERIALIZED (SELECT w.uid, w.bin, coalesce(sl.low, -1) AS low FROM (SELECT uid, unnest(range(32)) AS bin FROM (SELECT DISTINCT uid FROM sl)) w LEFT JOIN sl ON sl.uid = w.uid AND sl.bin = w.bin),
+mt AS (SELECT a.uid AS ua, b.uid AS ub, count(*) AS m, count(*) FILTER (WHERE a.low >= 0) AS f FROM fl a JOIN fl b ON a.bin = b.bin AND a.low = b.low AND a.uid < b.uid GROUP BY ALL),
+sg AS (SELECT ua, ub, (32 - m) / 32 AS h FROM mt WHERE f > 0),
 bd AS (SELECT ua, ub, h, -ln(2 * greatest(1 - h, 2.2250738585072014e-308) / (1 + greatest(1 - h, 2.2250738585072014e-308))) / {K} AS d FROM sg)"""
 
 ORACLE_SQL: dict[str, str] = {
@@ -423,13 +428,13 @@ JOIN n a ON a.uid = ua JOIN n b ON b.uid = ub WHERE a.q + b.q - 2 * dot <= 12"""
     "fad_full": f"{_FAD_B}, {_ASSIGN} SELECT tid, tp.uid, tp.seq, tp.cnt, CAST(coalesce(sum(u.cnt), 0) AS BIGINT) AS assigned FROM tp LEFT JOIN asg USING (tid) LEFT JOIN u ON u.uid = asg.uid GROUP BY ALL",
     "sketch_slots": f"WITH {_SLOTS} SELECT uid, h % 64 AS bin, min(h) AS low FROM hh GROUP BY ALL",
     "sketch_distances": f"WITH {_SIGS} SELECT ua, ub, h, round(d, 9) AS d FROM bd",
-    "sketch_candidates": f"""WITH {_SIGS}, {_NORMS}, r AS (SELECT ub AS uid, ua AS tid, round(d, 9) AS d, row_number() OVER (PARTITION BY ub ORDER BY round(d, 9), ua) AS k FROM bd WHERE ua < 20 AND ub >= 20),
+    "sketch_candidates": f"""WITH {_SIGS}, {_NORMS}, r AS (SELECT ub AS uid, ua AS tid, round(d, 9) AS d, row_number() OVER (PARTITION BY ub ORDER BY round(d, 9), ua) AS k FROM bd JOIN u x ON x.uid = ua JOIN u y ON y.uid = ub WHERE x.cnt >= 3 AND y.cnt < 3),
 f AS (SELECT *, bool_or(d <= 0.3) OVER (PARTITION BY uid) AS close FROM r WHERE k <= 5),
 s AS (SELECT f.uid, f.tid, f.k, a.q + b.q - 2 * CAST(coalesce((SELECT sum(x.c * y.c) FROM km x JOIN km y ON x.kmer = y.kmer WHERE x.uid = f.uid AND y.uid = f.tid), 0) AS BIGINT) AS sq
   FROM f JOIN n a ON a.uid = f.uid JOIN n b ON b.uid = f.tid WHERE NOT close OR d <= 0.3)
 SELECT uid, tid, sq FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY sq, k) AS z FROM s) WHERE z = 1""",
     "even_sample": """SELECT n, m, i, CASE WHEN n <= m THEN i WHEN m <= 1 THEN 0 ELSE i * (n - 1) // (m - 1) END AS idx
-FROM (SELECT doc_id AS n, m, unnest(range(0, least(doc_id, m))) AS i FROM documents CROSS JOIN range(1, 8) t(m) WHERE doc_id BETWEEN 1 AND 150)""",
+FROM (SELECT doc_id AS n, m, unnest(range(0, least(doc_id, m))) AS i FROM documents CROSS JOIN range(1, 8) t(m) WHERE doc_id >= 1)""",
     "supported_clusters": f"WITH {_B} SELECT true_template AS cluster_id, count(*) AS n FROM rb GROUP BY 1 HAVING count(*) >= (SELECT count(*) // 20 FROM rb)",
     "cluster_summaries": f"""WITH {_B}, z AS (SELECT count(*) AS s FROM rb GROUP BY true_template), l AS (SELECT list(s ORDER BY s) AS v, count(*) AS n, CAST(sum(s) AS BIGINT) AS t FROM z)
 SELECT n AS clusters, t AS size_total, v[1] AS size_min, v[n // 2 + 1] AS size_p50, v[least(CAST(floor(n * 0.9) AS BIGINT), n - 1) + 1] AS size_p90, v[least(CAST(floor(n * 0.99) AS BIGINT), n - 1) + 1] AS size_p99, v[n] AS size_max FROM l""",
