@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SequenceTooShort
 from ..functions import sequences as S
+from ..plans.scratch import keep
 
 READS = "read_idx long, id string, seq string, qual binary, cnt long"
 
@@ -15,8 +16,9 @@ def numbered(df: DataFrame, order: str, bits: int = 33) -> DataFrame:
     """df with `read_idx` from 0 in the order of a unique column: ranks within ranges of the order plus the ranges' sizes."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
-    within = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    # ranges are sampled anew for each plan, so ranks and sizes must come from one table
+    within = keep(ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(order))))
+    sizes = within.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
     return within.join(F.broadcast(before), "__part").withColumn("read_idx", (F.col("__base") + F.col("__rank") - 1).cast("long")).drop("__part", "__rank", "__base")
 
