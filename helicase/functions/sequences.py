@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..params import check_k
 
+STEP = 512
+
 
 def clean(seq: Column) -> Column:
     """Bases in upper case, U read as T; other letters stay, so that they are found to be none."""
@@ -55,8 +57,10 @@ def from_codes(values: Column) -> Column:
 def kmers(seq: Column, k: int) -> Column:
     """The array of all k-mers from left to right; empty for shorter sequences."""
     check_k(k)
-    places = F.sequence(F.lit(1), F.length(seq) - (k - 1))
-    return F.when(F.length(seq) >= k, F.transform(places, lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    # a substring is found from the text's start, so long sequences are cut into overlapping steps first
+    steps = F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1), F.lit(STEP)), lambda p: F.substring(seq, p, F.lit(STEP + k - 1)))
+    words = F.transform(steps, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k))))
+    return F.when(F.length(seq) >= k, F.flatten(words)).otherwise(F.array().cast("array<string>"))
 
 
 def canonical(kmer: Column) -> Column:
@@ -76,17 +80,8 @@ def is_homopolymer(kmer: Column) -> Column:
 
 def homopolymer_mask(seq: Column, least: int = 3) -> Column:
     """For each position whether it lies in a run of `least` equal bases or more."""
-    bases = F.filter(F.split(seq, ""), lambda b: b != "")
-    size = F.size(bases)
-
-    def inside(b: Column, i: Column) -> Column:
-        shifts = [F.forall(F.sequence(i - s, i - s + least - 1), lambda j: (j >= 0) & (j < size) & (F.get(bases, j) == b)) for s in range(least)]
-        found = shifts[0]
-        for s in shifts[1:]:
-            found = found | s
-        return found
-
-    return F.transform(bases, inside)
+    runs = F.regexp_extract_all(seq, F.lit(r"(.)\1*"), F.lit(0))
+    return F.flatten(F.transform(runs, lambda r: F.array_repeat(F.length(r) >= least, F.length(r))))
 
 
 def header_size(header: Column) -> Column:

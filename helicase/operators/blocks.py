@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import keep
 
 BLOCK = 1024
+LETTERS = 1 << 20
 _LETTER = np.full(256, 0, np.int64)
 _LETTER[[67, 71, 84]] = [1, 2, 3]  # C, G, T
 
@@ -56,7 +57,7 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pack(df: DataFrame, key: str, columns: dict[str, str], size: int = BLOCK, by_length: bool = True) -> DataFrame:
-    """(block, shortest, longest, key, ...): arrays of up to `size` rows, in the order of length or key."""
+    """(block, shortest, longest, key, ...): arrays of up to `size` rows and LETTERS bases (a longer sequence alone), in the order of length or key."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [key, *columns]
     order = [F.length("seq"), F.col(key)] if by_length else [F.col(key)]
@@ -65,9 +66,12 @@ def pack(df: DataFrame, key: str, columns: dict[str, str], size: int = BLOCK, by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                length = [len(s) for s in part.column("seq").to_pylist()]
+            lengths = [len(s) for s in batch.column("seq").to_pylist()]
+            at = 0
+            while at < batch.num_rows:
+                most = int(np.searchsorted(np.cumsum(lengths[at : at + size]), LETTERS, "right"))
+                part, length = batch.slice(at, max(1, most)), lengths[at : at + max(1, most)]
+                at += part.num_rows
                 block = (part.column("__part")[0].as_py() << 32) + number
                 number += 1
                 arrays = [pa.array([part.column(c).to_pylist()], pa.list_(part.schema.field(c).type)) for c in names]

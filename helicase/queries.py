@@ -1,7 +1,7 @@
 """Queries over DNA derived from the given tables, one or more for each operator, and the same in DuckDB's SQL.
 
-reads_a: the letters A, C, G, T of each document, up to 300. reads_b: 20 templates of 256 bases with one edit or none for
-each order. Floats are rounded and arrays joined to text, so that both engines give the same values.
+reads_a: the letters A, C, G, T of each document that has 60 or more. reads_b: 20 templates of 256 bases with one edit or none for
+each order; reads_c: the same for each customer. Floats are rounded and arrays joined to text, so that both engines give the same values.
 """
 
 from __future__ import annotations
@@ -30,25 +30,34 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def reads_a(spark: SparkSession, sf: str) -> DataFrame:
     letters = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
     rows = _table(spark, sf, "documents").select("doc_id", letters.alias("s")).where(F.length("s") >= 60)
-    rows = rows.select("doc_id", F.concat(F.lit("r"), "doc_id").alias("id"), F.substring("s", 1, 300).alias("seq"), F.lit(None).cast("binary").alias("qual"), (1 + F.col("doc_id") % 3).alias("cnt"))
+    rows = rows.select("doc_id", F.concat(F.lit("r"), "doc_id").alias("id"), F.col("s").alias("seq"), F.lit(None).cast("binary").alias("qual"), (1 + F.col("doc_id") % 3).alias("cnt"))
     return derep.numbered(rows, "doc_id").select("read_idx", "id", "seq", "qual", "cnt")
 
 
-def reads_b(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("o_custkey") % 20
+def _noisy(rows: DataFrame, key: str, group: str) -> DataFrame:
+    """For each row a read: one of 20 templates by `group`, with one edit or none by `key`."""
+    t = F.col(group) % 20
     digests = F.concat(*[F.md5(F.concat(F.lit("t"), t.cast("string"), F.lit(c)).cast("binary")) for c in "abcdefgh"])
-    h = F.md5(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).cast("binary"))
+    h = F.md5(F.concat(F.lit("m"), F.col(key).cast("string")).cast("binary"))
     number = lambda i: F.conv(F.substring("h", i, 8), 16, 10).cast("long")
-    rows = _table(spark, sf, "orders").select("o_orderkey", t.alias("t"), F.translate(digests, "0123456789abcdef", "ACGTACGTACGTACGT").alias("s"), h.alias("h"))
-    rows = rows.select("o_orderkey", "t", "s", (number(1) % 10).alias("kind"), (number(9) % 256 + 1).cast("int").alias("pos"), S.code_base(number(17) % 4).alias("b"))
+    rows = rows.select(key, t.alias("t"), F.translate(digests, "0123456789abcdef", "ACGTACGTACGTACGT").alias("s"), h.alias("h"))
+    rows = rows.select(key, "t", "s", (number(1) % 10).alias("kind"), (number(9) % 256 + 1).cast("int").alias("pos"), S.code_base(number(17) % 4).alias("b"))
     left, right = F.substring("s", F.lit(1), F.col("pos") - 1), F.substr("s", F.col("pos") + 1)
     seq = F.when(F.col("kind") < 5, F.col("s")).when(F.col("kind") < 8, F.concat(left, "b", right)).otherwise(F.concat(left, right))
-    rows = rows.select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("id"), seq.alias("seq"), F.lit(None).cast("binary").alias("qual"), F.lit(1).cast("long").alias("cnt"), "t")
-    return derep.numbered(rows, "o_orderkey").select("read_idx", "id", "seq", "qual", "cnt", F.col("t").alias("true_template"))
+    rows = rows.select(key, F.concat(F.lit("o"), key).alias("id"), seq.alias("seq"), F.lit(None).cast("binary").alias("qual"), F.lit(1).cast("long").alias("cnt"), "t")
+    return derep.numbered(rows, key).select("read_idx", "id", "seq", "qual", "cnt", F.col("t").alias("true_template"))
+
+
+def reads_b(spark: SparkSession, sf: str) -> DataFrame:
+    return _noisy(_table(spark, sf, "orders"), "o_orderkey", "o_custkey")
+
+
+def reads_c(spark: SparkSession, sf: str) -> DataFrame:
+    return _noisy(_table(spark, sf, "customer"), "c_custkey", "c_custkey")
 
 
 _A = """d AS (SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS s FROM documents),
-ra AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS read_idx, concat('r', doc_id) AS id, substr(s, 1, 300) AS seq, 1 + doc_id % 3 AS cnt FROM d WHERE length(s) >= 60)"""
+ra AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS read_idx, concat('r', doc_id) AS id, s AS seq, 1 + doc_id % 3 AS cnt FROM d WHERE length(s) >= 60)"""
 
 
 def _h(i: int) -> str:
@@ -97,7 +106,7 @@ tp AS MATERIALIZED (SELECT row_number() OVER (ORDER BY uid) - 1 AS tid, uid, seq
 
 
 def clean_validate(spark, sf):
-    raw = _table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("raw"))
+    raw = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw"))
     return raw.select("doc_id", S.clean(F.translate("raw", "XYZxyz", "ACGtug")).alias("seq"), S.bad_position(F.translate("raw", "XYZxyz", "ACGtug")).cast("long").alias("bad_pos"))
 
 
@@ -287,8 +296,7 @@ def dp_means_distributed(spark, sf):
 
 
 def fine_split(spark, sf):
-    r = _clusters(spark, sf).where("read_idx < 6000")  # a fixed number of reads: clusters of hundreds, as rough clusters have
-    return finesplit.fine_split(r, RadParams(min_cluster_size=3, fine_split_min_var=0.01))
+    return finesplit.fine_split(_clusters(spark, sf), RadParams(min_cluster_size=3, fine_split_min_var=0.01))
 
 
 def lsh_bins(spark, sf):
@@ -322,12 +330,12 @@ def pileup_call(spark, sf):
 
 
 def _pairs(spark, sf):
-    u = _u(reads_b(spark, sf)).where("uid < 400").select("uid", "seq")
+    u = _u(reads_b(spark, sf)).select("uid", "seq")
     return u.select("uid", F.col("seq").alias("qry"), (F.col("uid") % 20).alias("t")).join(u.where("uid < 20").select(F.col("uid").alias("t"), F.col("seq").alias("ref")), "t").select("uid", "ref", "qry")
 
 
 def nw_align(spark, sf):
-    """400 most abundant sequences, each against one of the first 20."""
+    """Every distinct sequence against one of the 20 most abundant."""
     return align.align(_pairs(spark, sf), AlignParams(band=16)).select("uid", "ref_aln", "qry_aln", "score")
 
 
@@ -355,12 +363,12 @@ def selection_rounds(spark, sf):
 
 
 def rad_full(spark, sf):
-    r = reads_b(spark, sf).where("read_idx < 3000").drop("true_template")  # as many as a rough clustering by bins is meant to show at this size
+    r = reads_c(spark, sf).drop("true_template")
     return rad_denoise(r, RadParams(consensus=ConsensusParams(align=AlignParams(band=16)))).templates
 
 
 def rad_exact(spark, sf):
-    r = reads_b(spark, sf).where("read_idx < 1500").drop("true_template")
+    r = reads_c(spark, sf).drop("true_template")
     return rad_denoise(r, RadParams(cluster_mode=ClusterMode.EXACT, min_cluster_size=5)).templates
 
 
@@ -397,7 +405,7 @@ sg AS (SELECT ua, ub, (32 - m) / 32 AS h FROM mt WHERE f > 0),
 bd AS (SELECT ua, ub, h, -ln(2 * greatest(1 - h, 2.2250738585072014e-308) / (1 + greatest(1 - h, 2.2250738585072014e-308))) / {K} AS d FROM sg)"""
 
 ORACLE_SQL: dict[str, str] = {
-    "clean_validate": """WITH r AS (SELECT doc_id, translate(translate(substr(text, 1, 40), 'XYZxyz', 'ACGtug'), 'acgtuU', 'ACGTTT') AS seq FROM documents)
+    "clean_validate": """WITH r AS (SELECT doc_id, translate(translate(text, 'XYZxyz', 'ACGtug'), 'acgtuU', 'ACGTTT') AS seq FROM documents)
 SELECT doc_id, seq, CASE WHEN g < length(seq) THEN g END AS bad_pos FROM (SELECT *, CAST(length(regexp_extract(seq, '^[ACGT]*')) AS BIGINT) AS g FROM r)""",
     "sequence_functions": f"""WITH {_A} SELECT read_idx, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc, translate(seq, 'ACGT', '0123') AS codes, seq AS back,
 length(seq) AS len, substr(seq, 5, 1) AS fifth FROM ra""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helicase import AlignParams, ClusterMode, ConsensusParams, EmptyInput, FadParams, InvalidK, InvalidParam, RadParams, fad_denoise, rad_denoise
 from helicase.functions import metrics as M
 from helicase.functions import sequences as S
-from helicase.operators import align, assign, consensus, derep, dpmeans, finesplit, lsh, neighbours, selection, sketch
+from helicase.operators import align, assign, blocks, consensus, derep, dpmeans, finesplit, lsh, neighbours, selection, sketch
 
 from . import brute
 
@@ -248,3 +248,39 @@ def test_errors(spark):
     assert ClusterMode.of("Sketch") is ClusterMode.SKETCH_PRECLUSTER
     with pytest.raises(InvalidParam):
         ClusterMode.of("none")
+
+
+def test_numbers_follow_the_order_of_many_rows(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("key"), F.repeat(F.lit("A"), 20).alias("seq"))
+    got = [r["key"] for r in derep.numbered(rows, "key").orderBy("read_idx").select("key").collect()]
+    assert got == sorted(got) and len(got) == 20_000
+    places = derep.numbered(rows, "key").select("read_idx").distinct().agg(F.min("read_idx"), F.max("read_idx"), F.count("*")).first()
+    assert tuple(places) == (0, 19_999, 20_000)
+
+
+@pytest.mark.parametrize("n", [0, 5, 6, S.STEP - 1, S.STEP, S.STEP + 5, S.STEP + 6, 3 * S.STEP + 17])
+def test_long_sequences_have_all_kmers_and_runs(spark, n):
+    seq = _random(random.Random(n), n) if n else ""
+    got = spark.createDataFrame([(seq,)], "seq string").select(S.kmers(F.col("seq"), 6).alias("w"), S.homopolymer_mask(F.col("seq")).alias("m")).first()
+    assert got["w"] == [seq[i : i + 6] for i in range(n - 5)]
+    assert got["m"] == [any(s >= 0 and seq[s : s + 3] == b * 3 for s in (i - 2, i - 1, i)) for i, b in enumerate(seq)]
+
+
+def test_kmer_screen_against_counts():
+    rng = random.Random(3)
+    first, second = ["", "AC", "ACGT"] + [_random(rng, 90) for _ in range(5)], ["ACG", "", "ACGA"] + [_random(rng, 80) for _ in range(4)] + [""]
+    distance, order = align.kmer_screen(first, second, 3)
+    for a, b, d, o in zip(first, second, distance, order, strict=True):
+        x, y = [a[i : i + 3] for i in range(len(a) - 2)], [b[i : i + 3] for i in range(len(b) - 2)]
+        squared = sum((x.count(w) - y.count(w)) ** 2 for w in {*x, *y})
+        assert d == pytest.approx(squared / (3 * (len(x) + len(y))) if x or y else 0)
+        n = min(len(x), len(y))
+        assert o == pytest.approx(sum(v != w for v, w in zip(x, y)) / n if n else 1)  # noqa: B905
+
+
+def test_blocks_hold_a_bounded_number_of_letters(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LETTERS", 100)
+    rows = spark.createDataFrame([(i, "A" * n) for i, n in enumerate([30, 30, 30, 30, 250, 40, 90])], "uid long, seq string").coalesce(1)
+    packed = blocks.pack(rows, "uid", {"seq": "string"}).collect()
+    assert sorted(u for r in packed for u in r["uid"]) == list(range(7))
+    assert all(len(r["seq"]) == 1 or sum(map(len, r["seq"])) <= 100 for r in packed)
