@@ -4,7 +4,8 @@ Centroids come from balanced splitting of a bounded sample: a cluster above its
 holds about as many sampled vectors. Every vector goes to its nearest centroid's list, and boundary vectors also to
 further lists whose centroid is hardly farther away, unless a list already chosen lies closer to that centroid. A query
 searches the centroids by best-first search in a neighbour graph held in memory, drops lists farther than a ratio of the
-nearest one, and scans the lists that are left with exact Euclidean distances in double precision.
+nearest one, and scans the lists that are left with exact
+Euclidean distances in double precision. A query that still has fewer than k neighbours is compared with all vectors.
 
 Lists are tables of packed blocks joined to packed blocks of queries, so a list may be of any length and Spark may split
 it between tasks. The driver and the broadcast hold the centroids and their graph only, at most CENTROIDS of them.
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import text
+from . import tables, text
 
 #: Bounds of the sample that is fitted and of the centroids.
 SAMPLE, CENTROIDS = 16_384, 1_024
+#: Queries that are packed at once; fewer when each searches all lists.
+BATCH = 16_384
 LEAF, COPIES, BOUNDARY, PROBES, RATIO, BEAM, LINKS = 24, 6, 1.15, 96, 1.6, 160, 24
 
 
@@ -72,6 +75,16 @@ def balanced_centroids(sample: np.ndarray, leaf: int, most: int) -> np.ndarray:
     return np.array(out).reshape(len(out), -1)
 
 
+def merged(centroids: np.ndarray) -> np.ndarray:
+    """The centroids without those that rounding cannot tell from an earlier one."""
+    norm = (centroids * centroids).sum(1)
+    same = _distances(centroids, centroids) <= 1e-12 * (norm[:, None] + norm)
+    kept = np.zeros(len(centroids), bool)
+    for i in range(len(centroids)):
+        kept[i] = not (same[i] & kept).any()
+    return centroids[kept]
+
+
 def build_graph(centroids: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
     """Each centroid's nearest others (padded with itself) and spread-out places to start from."""
     n = len(centroids)
@@ -137,46 +150,67 @@ def _blocks(names: tuple[str, str], ids: np.ndarray, lists: np.ndarray, vectors:
     return pa.RecordBatch.from_arrays([pa.array(lists[cut[:-1]], pa.int32()), text.binary([ids[i:j].tobytes() for i, j in pairs]), text.binary([vectors[i:j].tobytes() for i, j in pairs])], ["list", *names])
 
 
-def _post(shared, dim: int):
+def _least(v: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """The rows with the `most` smallest ids among equal vectors: no other copy can be among fewer than `most` neighbours."""
+    _, group = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    group, sorted_ids = group[order], ids[order]
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (sorted_ids[1:] != sorted_ids[:-1])
+    order, group = order[fresh], group[fresh]
+    return np.sort(order[np.arange(len(group)) - np.searchsorted(group, group) < most])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], c: np.ndarray, dim: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(vectors, ids, centroids nearest first, their squared distances) of the candidates of each batch."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            batch = whole.slice(at, 4096)
+            v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
+            few = _least(v, ids, most)
+            v, ids = v[few], ids[few]
+            far = _distances(v, c)
+            near = np.argsort(far, 1, kind="stable")[:, : 2 * COPIES]
+            yield v, ids, near, np.take_along_axis(far, near, 1)
+
+
+def _post(shared, dim: int, most: int, copies: int = COPIES):
     """Packed lists of each batch: the nearest centroid and, for boundary vectors, further ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value.centroids
         between = _distances(c, c)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
-                far = _distances(v, c)
-                near = np.argsort(far, 1)[:, : 2 * COPIES]
-                d = np.take_along_axis(far, near, 1)
-                chosen = np.zeros(near.shape, bool)
-                chosen[:, 0] = True
-                for j in range(1, near.shape[1]):
-                    close = np.zeros(len(v), bool)
-                    for i in range(j):
-                        close |= chosen[:, i] & (between[near[:, i], near[:, j]] < d[:, j] * 0.5)
-                    chosen[:, j] = (d[:, j] <= d[:, 0] * BOUNDARY**2) & ~close & (chosen.sum(1) < COPIES)
-                row, col = np.nonzero(chosen)
-                yield _blocks(("ids", "vectors"), ids[row], near[row, col], v[row])
+        for v, ids, near, d in _placed(batches, c, dim, most):
+            chosen = np.zeros(near.shape, bool)
+            chosen[:, 0] = True
+            for j in range(1, near.shape[1] if copies > 1 else 1):
+                close = np.zeros(len(v), bool)
+                for i in range(j):
+                    close |= chosen[:, i] & (between[near[:, i], near[:, j]] < d[:, j] * 0.5)
+                chosen[:, j] = (d[:, j] <= d[:, 0] * BOUNDARY**2) & ~close & (chosen.sum(1) < copies)
+            row, col = np.nonzero(chosen)
+            yield _blocks(("ids", "vectors"), ids[row], near[row, col], v[row])
 
     return run, "list int, ids binary, vectors binary"
 
 
-def _ask(shared, dim: int, probes: int, ratio: float):
+def _ask(shared, dim: int, probes: int, ratio: float, every: bool):
+    """Packed queries of the lists that they search: all lists if `every`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
-            v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
-            rows, lists = [], []
-            for i, q in enumerate(v):
-                found, d = search_graph(index, q, probes)
-                found = found[d <= d[0] * ratio**2 + 1e-12]
-                rows.append(np.full(len(found), i))
-                lists.append(found)
-            if rows:
-                row = np.concatenate(rows)
-                yield _blocks(("queries", "wanted"), ids[row], np.concatenate(lists), v[row])
+        centroids = np.arange(len(index.centroids))
+        step = max(1, BATCH // len(centroids)) if every else BATCH
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
+                found = []
+                for q in v:
+                    near, d = search_graph(index, q, probes)
+                    found.append(centroids if every else near[d <= d[0] * ratio**2 + 1e-12])
+                row = np.repeat(np.arange(len(v)), [len(x) for x in found])
+                yield _blocks(("queries", "wanted"), ids[row], np.concatenate(found), v[row])
 
     return run, "list int, queries binary, wanted binary"
 
@@ -225,12 +259,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = PR
     rows, asked = rows.where(F.size("v") == dim), usable(queries).where(F.size("v") == dim)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
     fitted = chosen.repartition(1).mapInArrow(_fit(dim, LEAF, CENTROIDS), "centroids binary").first()
-    centroids = np.frombuffer(fitted["centroids"]).reshape(-1, dim)
+    centroids = merged(np.frombuffer(fitted["centroids"]).reshape(-1, dim))
     shared = spark.sparkContext.broadcast(Index(centroids, *build_graph(centroids, LINKS)))  # at most CENTROIDS rows
-    post, posted = _post(shared, dim)
-    ask, asking = _ask(shared, dim, probes, ratio)
-    scan, scanned = _scan(dim, k)
-    lists, probed = rows.mapInArrow(post, posted), asked.mapInArrow(ask, asking)
-    near = lists.join(probed, "list").select("ids", "vectors", "queries", "wanted").mapInArrow(scan, scanned).distinct()
+    most = k + 1  # a query's own row is no candidate
+
+    def scan(copies: int, wanted: DataFrame, every: bool) -> DataFrame:
+        lists, probed = rows.mapInArrow(*_post(shared, dim, most, copies)), wanted.mapInArrow(*_ask(shared, dim, probes, ratio, every))
+        return lists.join(probed, "list").select("ids", "vectors", "queries", "wanted").mapInArrow(*_scan(dim, k)).distinct()
+
+    near = tables.keep(scan(COPIES, asked, False))
+    full = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
+    if not short.isEmpty():
+        near = near.union(scan(1, short, True)).distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

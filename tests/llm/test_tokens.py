@@ -179,6 +179,29 @@ def test_neighbours_few(spark):
     assert [(r["query_id"], r["vec_id"]) for r in neighbours.search(two, two.where("vec_id = 0")).collect()] == [(0, 7)]
 
 
+def _exact(v: np.ndarray, q: int, k: int = 10) -> list[tuple[float, int]]:
+    d = np.sqrt(((v - v[q]) ** 2).sum(1))
+    return sorted((s, i) for i, s in enumerate(d.tolist()) if i != q)[:k]
+
+
+def test_neighbours_with_a_third_equal(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(18_000, 8))
+    v[rng.permutation(18_000)[:6_000]] = v[0] / 3
+    same = np.flatnonzero((v == v[v[:, 0] == v[0, 0] / 3][0]).all(1))
+    assert len(same) >= 5_999
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4).cache()
+    found: dict[int, list] = {}
+    for r in neighbours.search(table, table.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert sorted(found) == list(range(0, 18_000, 20)) and all(len(x) == 10 for x in found.values())
+    held = set(same.tolist())
+    for q in held & set(found):
+        assert sorted(found[q]) == [(0.0, i) for i in same.tolist() if i != q][:10]
+    apart = [q for q in found if q not in held][:100]
+    assert sum(len(set(found[q]) & set(_exact(v, q))) for q in apart) >= 0.9 * 10 * len(apart)
+
+
 def test_chats(spark):
     rng = random.Random(12)
     talks: dict[int, list[tuple[str | None, str | None]]] = {}
