@@ -3,8 +3,8 @@
 Centroids come from balanced splitting of a bounded sample: a cluster above its share is split again until every leaf
 holds about as many sampled vectors. Every vector goes to its nearest centroid's list, and boundary vectors also to
 further lists whose centroid is hardly farther away, unless a list already chosen lies closer to that centroid. A query
-searches the centroids by best-first search in a neighbour graph held in memory, drops lists farther than a ratio of the
-nearest one, and scans the lists that are left with exact
+searches the centroids by best-first search in a neighbour graph held in memory, keeps the nearest lists until they hold
+enough vectors for k neighbours, drops lists farther than a ratio of those, and scans the lists that are left with exact
 Euclidean distances in double precision. A query that still has fewer than k neighbours is compared with all vectors.
 
 Lists are tables of packed blocks joined to packed blocks of queries, so a list may be of any length and Spark may split
@@ -174,6 +174,20 @@ def _placed(batches: Iterator[pa.RecordBatch], c: np.ndarray, dim: int, most: in
             yield v, ids, near, np.take_along_axis(far, near, 1)
 
 
+def _count(shared, dim: int, most: int):
+    """How many vectors have each centroid as their nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value.centroids
+        size = np.zeros(len(c), np.int64)
+        for _, _, near, _ in _placed(batches, c, dim, most):
+            size += np.bincount(near[:, 0], minlength=len(c))
+        held = np.flatnonzero(size)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(size[held])], ["list", "n"])
+
+    return run, "list int, n long"
+
+
 def _post(shared, dim: int, most: int, copies: int = COPIES):
     """Packed lists of each batch: the nearest centroid and, for boundary vectors, further ones."""
 
@@ -194,21 +208,28 @@ def _post(shared, dim: int, most: int, copies: int = COPIES):
     return run, "list int, ids binary, vectors binary"
 
 
-def _ask(shared, dim: int, probes: int, ratio: float, every: bool):
-    """Packed queries of the lists that they search: all lists if `every`."""
+def lists_of(index: Index, query: np.ndarray, sizes: np.ndarray, probes: int, ratio: float, enough: int) -> np.ndarray:
+    """The nearest lists that hold `enough` vectors together (all, if there are fewer), and those hardly farther away."""
+    found, d = search_graph(index, query, probes)
+    last = int(np.searchsorted(np.cumsum(sizes[found]), enough))
+    if last < len(found):
+        return found[(np.arange(len(found)) <= last) | (d <= d[last] * ratio**2 + 1e-12)]
+    order = np.argsort(((index.centroids - query) ** 2).sum(1), kind="stable")
+    return np.union1d(found, order[: int(np.searchsorted(np.cumsum(sizes[order]), enough)) + 1])
+
+
+def _ask(shared, dim: int, sizes: np.ndarray, probes: int, ratio: float, enough: int | None):
+    """Packed queries of the lists that they search: all lists without `enough`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        centroids = np.arange(len(index.centroids))
-        step = max(1, BATCH // len(centroids)) if every else BATCH
+        every = np.flatnonzero(sizes)
+        step = BATCH if enough is not None else max(1, BATCH // len(every))
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
-                found = []
-                for q in v:
-                    near, d = search_graph(index, q, probes)
-                    found.append(centroids if every else near[d <= d[0] * ratio**2 + 1e-12])
+                found = [every if enough is None else lists_of(index, q, sizes, probes, ratio, enough) for q in v]
                 row = np.repeat(np.arange(len(v)), [len(x) for x in found])
                 yield _blocks(("queries", "wanted"), ids[row], np.concatenate(found), v[row])
 
@@ -262,15 +283,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = PR
     centroids = merged(np.frombuffer(fitted["centroids"]).reshape(-1, dim))
     shared = spark.sparkContext.broadcast(Index(centroids, *build_graph(centroids, LINKS)))  # at most CENTROIDS rows
     most = k + 1  # a query's own row is no candidate
+    sizes = np.zeros(len(centroids), np.int64)
+    for number, n in rows.mapInArrow(*_count(shared, dim, most)).groupBy("list").agg(F.sum("n")).collect():  # a row for each centroid
+        sizes[number] = n
 
-    def scan(copies: int, wanted: DataFrame, every: bool) -> DataFrame:
-        lists, probed = rows.mapInArrow(*_post(shared, dim, most, copies)), wanted.mapInArrow(*_ask(shared, dim, probes, ratio, every))
+    def scan(copies: int, wanted: DataFrame, enough: int | None) -> DataFrame:
+        lists, probed = rows.mapInArrow(*_post(shared, dim, most, copies)), wanted.mapInArrow(*_ask(shared, dim, sizes, probes, ratio, enough))
         return lists.join(probed, "list").select("ids", "vectors", "queries", "wanted").mapInArrow(*_scan(dim, k)).distinct()
 
-    near = tables.keep(scan(COPIES, asked, False))
-    full = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
-    if not short.isEmpty():
-        near = near.union(scan(1, short, True)).distinct()
+    near = tables.keep(scan(COPIES, asked, most))
+    if sizes.sum() > k:
+        full = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        short = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
+        if not short.isEmpty():
+            near = near.union(scan(1, short, None)).distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -202,6 +202,21 @@ def test_neighbours_with_a_third_equal(spark):
     assert sum(len(set(found[q]) & set(_exact(v, q))) for q in apart) >= 0.9 * 10 * len(apart)
 
 
+def test_neighbours_of_a_lone_centroid(spark):
+    schema = "vec_id long, embedding array<double>"
+    for n in (101, 111, 121):
+        v = np.random.default_rng(n).normal(size=(n, 4))
+        v[0] = 1000
+        table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], schema).repartition(3)
+        got = neighbours.search(table, table.where("vec_id = 0")).collect()
+        assert sorted(r["vec_id"] for r in got) == sorted(i for _, i in _exact(v, 0))
+    # the nearest lists are full of rows of the query's own id
+    rows = [(0, [5.0 + i * 1e-3, 1.0]) for i in range(60)] + [(i, [-5.0 - i, 1.0]) for i in range(1, 90)]
+    table = spark.createDataFrame(rows, schema).repartition(3)
+    got = neighbours.search(table, table.where("embedding[0] = 5")).collect()
+    assert sorted(r["vec_id"] for r in got) == list(range(1, 11))
+
+
 def test_chats(spark):
     rng = random.Random(12)
     talks: dict[int, list[tuple[str | None, str | None]]] = {}
