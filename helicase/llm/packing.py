@@ -7,13 +7,15 @@ length (at most `capacity` numbers, whatever the corpus) for groups of equal seq
 place by its rank among the pieces of its length. Nothing is packed by partition, so no partition leaves gaps of its own.
 
 Edge cases: a null or empty text is the end id alone; an empty table gives an empty result; rows whose doc_id is null are
-packed too; repeated rows are packed one by one.
+packed too; repeated rows are packed one by one. Special tokens within a text get their own ids, as in the library, or are
+text like any other with `encode_special_tokens`, as the library names it; so pieces may hold the end id of the file.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -58,6 +60,37 @@ def tokenizer(path: str) -> Encoded:
     return Encoded(lambda words: [coder._encode_single_piece(w) for w in words])
 
 
+@functools.cache
+def added_tokens(path: str, encode_special_tokens: bool = False) -> dict[bytes, int]:
+    """Ids of the added tokens in a tokenizers JSON file that are cut out of a text before all else."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    tokens = [t for t in whole.get("added_tokens") or [] if t["content"] and not (encode_special_tokens and t["special"])]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"an added token that is not taken as it stands: {t['content']!r}")
+    return {t["content"].encode(): t["id"] for t in tokens}
+
+
+def encode(table: Encoded, added: dict[bytes, int], data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' ids, one after the other, and each row's number of ids; texts between added tokens are split by themselves."""
+    raw = data.tobytes()
+    if not any(token in raw for token in added):
+        return table.encode(data, at)
+    pattern = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)))  # the longest that starts first
+    found = [(row, *m.span(), added[m[0]]) for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) for m in pattern.finditer(raw, a, b)]
+    row, start, stop, token = np.array(found, np.int64).reshape(-1, 4).T
+    gone = np.zeros(len(data), bool)
+    gone[text.ranges(start, stop - start)] = True
+    left = np.concatenate(([0], np.cumsum(~gone)))
+    # a row for each text before or after a token
+    order = np.argsort(np.concatenate((row, np.arange(len(at)))) * 2 + np.repeat([1, 0], [len(row), len(at)]), kind="stable")
+    ids, counts = table.encode(data[~gone], left[np.concatenate((start, at))[order]])
+    ends = np.concatenate(([0], np.cumsum(counts)))[np.argsort(order)]  # ids before each token and each row
+    many = np.bincount(row, minlength=len(at) - 1)
+    return np.insert(ids, ends[: len(row)], token), np.diff(ends[len(row) :]) + many
+
+
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """Groups of equal sequences, (lengths, how many), that hold counts[n] pieces of each length n."""
     left = counts.astype(object).copy()
@@ -134,13 +167,13 @@ class Places:
         return self.base[at] + rank - self.low[at], self.offset[at]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = True, encode_special_tokens: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids); without ids if so asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokenizer(path)
+        table, added = tokenizer(path), added_tokens(path, encode_special_tokens)
         for batch, data, at in text.steps(batches, text.STEP_BYTES // 2):
-            ids, counts = table.encode(data, at)
+            ids, counts = encode(table, added, data, at)
             ids = np.insert(ids, np.cumsum(counts), end).astype("<u4")
             counts = counts + 1
             many = -(-counts // capacity)
@@ -160,10 +193,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = True, encode_special_tokens: bool = True) -> DataFrame:
     """The pieces of all documents with sequence_id and offset, gapless from 0 within each sequence."""
     spark = docs.sparkSession
-    cut = tables.keep(pieces(docs, path, capacity, end, with_ids))
+    cut = tables.keep(pieces(docs, path, capacity, end, with_ids, encode_special_tokens))
     salts = tables.shuffle_partitions(spark)
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     many = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))

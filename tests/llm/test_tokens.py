@@ -93,6 +93,28 @@ def test_packing(docs, corpus):
     assert len(bins) <= 1.03 * -(-total // 64) + 1
 
 
+def test_added_tokens_as_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from helicase.llm import queries
+
+    t, table, added = Tokenizer.from_file(JSON), packing.tokenizer(JSON), packing.added_tokens(JSON)
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endo", "ftext|>", "<", "|>", " ", "\n", "a", "'", "s", "é", "don't"]
+    texts = ["a <|endoftext|> b", "", "<|endoftext|>", "<|endof", "text|>", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000))]
+    raw = [x.encode() for x in texts]
+    at = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    ids, counts = packing.encode(table, added, np.frombuffer(b"".join(raw), np.uint8), at)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    docs = spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for packed in (queries.op7_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, "")):
+        assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packed.collect()} == {i: (len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for i, w in enumerate(want[:200])}
+
+
 def test_plan_matches_large_items_and_fills_gaps():
     rng = np.random.default_rng(3)
     for capacity in (12, 64, 1024):
