@@ -161,16 +161,19 @@ def kmer_norms(spark, sf):
     return kmers.norms(kmers.counts(_u(reads_b(spark, sf)), "uid", K), "uid")
 
 
-def _distances(spark, sf):
-    return kmers.distances(keep(kmers.counts(_u(reads_a(spark, sf)), "uid", K)), "uid")
+def _close_pairs(u: DataFrame) -> DataFrame:
+    """All pairs with sq <= 150, also those of short sequences that share no k-mer."""
+    return neighbours.pairs(u, K, 150 / (2 * K))
 
 
 def corrected_distance_full(spark, sf):
-    return _distances(spark, sf).where("sq <= 150").select("ua", "ub", "sq")
+    return _close_pairs(keep(_u(reads_a(spark, sf)).select("uid", "seq")))
 
 
 def corrected_distance_normalized(spark, sf):
-    rows = _distances(spark, sf).where("sq <= 150")
+    u = keep(_u(reads_a(spark, sf)).select("uid", "seq"))
+    total = keep(kmers.norms(kmers.counts(u, "uid", K), "uid").select("uid", "t"))
+    rows = _close_pairs(u).join(total.toDF("ua", "ta"), "ua").join(total.toDF("ub", "tb"), "ub")
     return rows.select("ua", "ub", F.round(F.col("sq") / (K * (F.col("ta") + F.col("tb"))), 9).alias("d"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import random
 
 import duckdb
 import pytest
@@ -93,3 +94,16 @@ def test_oracle(spark, sf, name):
     assert sorted(got.columns) == columns
     key = lambda rows: sorted(map(repr, rows))
     assert key(tuple(r) for r in got.select(*(F.col(c) for c in columns)).collect()) == key(con.sql(f"SELECT {', '.join(columns)} FROM want").fetchall())
+
+
+def test_distances_of_reads_without_a_shared_kmer(spark, monkeypatch):
+    rng = random.Random(1)
+    kmers = lambda s: {min(w, w.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for w in (s[i : i + 6] for i in range(len(s) - 5))}
+    while True:
+        seqs = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(2)]
+        if not kmers(seqs[0]) & kmers(seqs[1]) and all(len(kmers(s)) == 55 for s in seqs):
+            break
+    reads = spark.createDataFrame([(i, f"r{i}", s, 3 - 2 * i) for i, s in enumerate(seqs)], "read_idx long, id string, seq string, cnt long")
+    monkeypatch.setattr(queries, "reads_a", lambda spark, sf: reads)
+    assert [tuple(r) for r in queries.corrected_distance_full(spark, "").collect()] == [(0, 1, 110)]
+    assert [tuple(r) for r in queries.corrected_distance_normalized(spark, "").collect()] == [(0, 1, round(1 / 6, 9))]
