@@ -1,4 +1,4 @@
-"""Intermediate tables that every executor can read again."""
+"""Intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, as in local tests, a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's spark.checkpoint.dir; a temporary folder where it is unset and the master is local, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="helicase-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/helicase/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Writes df to the shared folder and reads it back: a later loss of executors costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/helicase/{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
