@@ -30,7 +30,7 @@ WINDOW, LONG, SHORT, LEVELS, GRAM = 7, 64, 32, 40, 4
 _CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 
-def _signature(poly: text.Poly, at: np.ndarray, row: np.ndarray, place: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _signature(data: np.ndarray, at: np.ndarray, row: np.ndarray, place: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes [rows, most] and lengths, from the chunk ends (`place`, the byte after each) of every row."""
     n_rows = len(at) - 1
     count = np.bincount(row, minlength=n_rows)
@@ -42,12 +42,12 @@ def _signature(poly: text.Poly, at: np.ndarray, row: np.ndarray, place: np.ndarr
     inner = rank > 0
     start[inner] = place[np.flatnonzero(inner) - 1]
     codes = np.full((n_rows, most), -1, np.int8)
-    codes[row, rank] = (poly.of(start, place, 9) & np.uint64(63)).astype(np.int8)
+    codes[row, rank] = (text.hashes(data, start, place, 9)[0] & np.uint64(63)).astype(np.int8)
     kept = np.minimum(count, most - 1)
     ends = at[:-1].copy()
     ends[row] = place  # rows come in order, so a row's last chunk end stays
     rest = np.flatnonzero(ends < at[1:])
-    codes[rest, kept[rest]] = (poly.of(ends[rest], at[1:][rest], 9) & np.uint64(63)).astype(np.int8)
+    codes[rest, kept[rest]] = (text.hashes(data, ends[rest], at[1:][rest], 9)[0] & np.uint64(63)).astype(np.int8)
     kept[rest] += 1
     return codes, kept
 
@@ -56,11 +56,13 @@ class Prints:
     """Fingerprints of many texts: levels k, signature codes and lengths."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        poly, size = text.Poly(data), np.diff(at)
+        size = np.diff(at)
         n_rows = len(size)
-        spot = np.arange(len(data))
-        begin = np.maximum(np.repeat(at[:-1], size), spot - (WINDOW - 1))
-        roll = poly.of(begin, spot + 1, 8)
+        # zeros before each row, so that its first windows depend on it alone
+        padded = np.zeros(len(data) + n_rows * (WINDOW - 1), np.uint8)
+        begin = at[:-1] + np.arange(n_rows) * (WINDOW - 1)
+        padded[text.ranges(begin + WINDOW - 1, size)] = data
+        roll = text.rolling(padded, WINDOW)[text.ranges(begin, size)] if len(data) else np.empty(0, np.uint64)
         spot = np.flatnonzero(roll % np.uint64(3) == 0)
         low = roll[spot] // np.uint64(3)
         zeros = np.full(len(low), LEVELS - 1)
@@ -74,7 +76,7 @@ class Prints:
         self.codes, self.sizes = [], []
         for extra, most in ((0, LONG), (1, SHORT)):
             use = zeros >= self.k[row] + extra
-            codes, kept = _signature(poly, at, row[use], spot[use] + 1, most)
+            codes, kept = _signature(data, at, row[use], spot[use] + 1, most)
             self.codes.append(codes)
             self.sizes.append(kept)
 

@@ -33,13 +33,13 @@ from . import tables, text
 PERMUTATIONS, ROWS, CLASSES = 64, 4, 32
 
 
-def shingles(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, at: np.ndarray, words: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, one after the other, and each row's count."""
     starts, stops = text.runs(~text.is_space(data), at)
     n_rows = len(at) - 1
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(n_rows, np.int64)
-    word = text.Poly(text.lower_ascii(data)).of(starts, stops, 1)
+    word = text.hashes(text.lower_ascii(data), starts, stops, seed)[0]
     row = text.row_of(starts, at)
     count = np.bincount(row, minlength=n_rows)
     first = np.cumsum(count) - count
@@ -64,7 +64,7 @@ def signatures(sets: np.ndarray, counts: np.ndarray, permutations: int) -> np.nd
     starts = (np.cumsum(counts) - counts)[counts > 0]
     out = np.empty((len(starts), 2 * permutations), np.uint64)
     for k in range(permutations):
-        image = (sets ^ (sets >> np.uint64(32))) * np.uint64((text._BASE * (2 * k + 3) ** 9 | 1) % (1 << 64))
+        image = (sets ^ (sets >> np.uint64(32))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3) ** 9 | 1) % (1 << 64))
         out[:, 2 * k] = np.minimum.reduceat(image, starts)
         out[:, 2 * k + 1] = np.maximum.reduceat(image, starts)
     return out
@@ -109,8 +109,8 @@ def _verify(words: int, percent: int):
                 j = i + 1
                 while j < n and left_at[j + 1] - left_at[i] + right_at[j + 1] - right_at[i] < 2 * text.STEP_BYTES:
                     j += 1
-                sa, ca = shingles(left[left_at[i] : left_at[j]], left_at[i : j + 1] - left_at[i], words)
-                sb, cb = shingles(right[right_at[i] : right_at[j]], right_at[i : j + 1] - right_at[i], words)
+                sa, ca = shingles(left[left_at[i] : left_at[j]], left_at[i : j + 1] - left_at[i], words, 2)
+                sb, cb = shingles(right[right_at[i] : right_at[j]], right_at[i : j + 1] - right_at[i], words, 2)
                 row = np.concatenate((np.repeat(np.arange(j - i), ca), np.repeat(np.arange(j - i), cb)))
                 both = np.concatenate((sa, sb))
                 order = np.lexsort((both, row))
@@ -168,15 +168,14 @@ def _count_shared(parts: int):
         return pa.RecordBatch.from_arrays([pa.array(target[cut[:-1]]), pa.array([kind] * len(pairs), pa.int32()), text.binary([ids[i:j].tobytes() for i, j in pairs]), text.binary([counts[i:j].tobytes() for i, j in pairs])], ["target", "class", "docs", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
+        for bucket, rows in _groups(batches, "bucket"):
+            parts = []
+            for r in rows:
                 known = np.frombuffer(r["known"], np.int64)
                 if len(known):
                     yield deal(-1, known, np.frombuffer(r["counts"], np.int64).reshape(-1, CLASSES))
-                held.setdefault(r["bucket"], []).append((np.frombuffer(r["shingles"], np.uint64), np.frombuffer(r["docs"], np.int64), np.frombuffer(r["several"], bool)))
-        for bucket in list(held):
-            h, docs, several = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+                parts.append((np.frombuffer(r["shingles"], np.uint64), np.frombuffer(r["docs"], np.int64), np.frombuffer(r["several"], bool)))
+            h, docs, several = (np.concatenate(x) for x in zip(*parts, strict=True))
             _, at = np.unique(h, return_inverse=True)
             shared = np.bincount(at, weights=1 + several) > 1
             yield deal(bucket % CLASSES, *np.unique(docs[shared[at] & ~several], return_counts=True))
@@ -184,14 +183,25 @@ def _count_shared(parts: int):
     return run, "target int, class int, docs binary, counts binary"
 
 
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each key, one key after the other; the rows come in the order of the key."""
+    now, held = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            if held and r[key] != now:
+                yield now, held
+                held = []
+            now = r[key]
+            held.append(r)
+    if held:
+        yield now, held
+
+
 def _sum_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, s0, s1, ...), one row for each document."""
-    held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            held.setdefault(r["target"], []).append((r["class"], np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.int64)))
-    for target in list(held):
-        parts = held.pop(target)
+    for _, rows in _groups(batches, "target"):
+        parts = [(r["class"], np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in rows]
         ids, at = np.unique(np.concatenate([d for _, d, _ in parts]), return_inverse=True)
         total, start = np.zeros((len(ids), CLASSES), np.int64), 0
         for kind, docs, counts in parts:
@@ -240,8 +250,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
         texts = tables.keep(docs.join(open_members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
         # a multiple of the classes, so that a bucket's shingles are of one class
         pack, packed = _pack_shingles(words, CLASSES * -(-4 * tables.shuffle_partitions(docs.sparkSession) // CLASSES))
-        count, counted = _count_shared(tables.shuffle_partitions(docs.sparkSession))
-        common = texts.mapInArrow(pack, packed).repartition("bucket").mapInArrow(count, counted).repartition("target").mapInArrow(_sum_shared, "doc_id long, " + ", ".join(f"{c} long" for c in _SHARED))
+        count, counted = _count_shared(4 * tables.shuffle_partitions(docs.sparkSession))
+        by_bucket = texts.mapInArrow(pack, packed).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, counted)
+        common = by_bucket.repartition("target").sortWithinPartitions("target").mapInArrow(_sum_shared, "doc_id long, " + ", ".join(f"{c} long" for c in _SHARED))
         # the most shingles that a linked partner can have
         reach = F.floor(sum((F.col(c) for c in _SHARED), F.lit(0)) * (100 + percent) / percent) - F.col("n_shingles")
         able = open_members.join(common, "doc_id").withColumn("reach", reach)

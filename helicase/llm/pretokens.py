@@ -73,7 +73,11 @@ def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoded:
-    """Ids of distinct pre-tokens by their 64-bit hash: an open-addressing table over flat arrays."""
+    """Ids of distinct pre-tokens: an open-addressing table over flat arrays.
+
+    A pre-token's place comes from one hash of 64 bits and each entry keeps a second, independent one. A pre-token that
+    agrees with an entry in the first alone is encoded by itself.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bits: int = 21):
         self._encode, self._bits = encode, bits
@@ -82,7 +86,7 @@ class Encoded:
     def _clear(self) -> None:
         self._keys = np.zeros(1 << self._bits, np.uint64)
         self._slots = np.zeros(1 << self._bits, np.int32)
-        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.first, self.size, self.second = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint64)
         self.flat = np.empty(0, np.uint32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -119,9 +123,21 @@ class Encoded:
             return np.empty(0, np.uint32), np.zeros(n_rows, np.int64)
         if len(self.first) > MEMO:
             self._clear()
-        h = text.Poly(data).of(starts, stops, 21) | np.uint64(1)
+        h, check = text.hashes(data, starts, stops, 21)
+        h |= np.uint64(1)
         found = self._find(h)
         new = np.flatnonzero(found < 0)
+        raw = memoryview(np.ascontiguousarray(data))
+
+        def append(where: np.ndarray) -> np.ndarray:
+            ids = self._encode([bytes(raw[a:b]) for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)])
+            size = np.fromiter(map(len, ids), np.int32, len(ids))
+            begin = len(self.flat) + np.cumsum(size) - size
+            self.flat = np.concatenate((self.flat, np.fromiter((x for w in ids for x in w), np.uint32, int(size.sum()))))
+            number = np.arange(len(self.first), len(self.first) + len(where), dtype=np.int32)
+            self.first, self.size, self.second = np.concatenate((self.first, begin)), np.concatenate((self.size, size)), np.concatenate((self.second, check[where]))
+            return number
+
         if len(new):
             fresh, where = np.unique(h[new], return_index=True)
             if len(self.first) + len(fresh) > (1 << self._bits) * 3 // 4:  # one step with a great many distinct pre-tokens
@@ -129,15 +145,11 @@ class Encoded:
                 self._clear()
                 new = np.arange(len(h))
                 fresh, where = np.unique(h, return_index=True)
-            where = new[where]
-            raw = data.tobytes()
-            ids = self._encode([raw[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)])
-            size = np.fromiter(map(len, ids), np.int32, len(ids))
-            begin = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate((self.flat, np.fromiter((x for w in ids for x in w), np.uint32, int(size.sum()))))
-            self._add(fresh, np.arange(len(self.first), len(self.first) + len(fresh), dtype=np.int32))
-            self.first, self.size = np.concatenate((self.first, begin)), np.concatenate((self.size, size))
+            self._add(fresh, append(new[where]))
             found[new] = self._find(h[new])
+        clash = np.flatnonzero(self.second[found] != check)
+        if len(clash):
+            found[clash] = append(clash)
         size = self.size[found].astype(np.int64)
         flat = self.flat[text.ranges(self.first[found], size)]
         ends = np.concatenate(([0], np.cumsum(size)))

@@ -44,8 +44,8 @@ def _features(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     """The distinct feature places of each row."""
     n_rows = len(at) - 1
     starts, stops = text.runs(~text.is_space(data), at)
-    poly = text.Poly(text.lower_ascii(data))
-    word = poly.of(starts, stops, 1)
+    low = text.lower_ascii(data)
+    word = text.hashes(low, starts, stops, 1)[0]
     row = text.row_of(starts, at)
     kinds = [(data >= 65) & (data <= 90), (data >= 97) & (data <= 122), (data >= 48) & (data <= 57), data >= 128]
     held = np.zeros(len(starts), np.uint64)
@@ -75,7 +75,7 @@ def _features(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         owners.append(row[whole])
         alone = np.zeros(len(starts), bool)
         alone[1:] = follows[1:] & whole[:-1]
-    thirds = poly.rolling(3) if len(data) >= 3 else np.empty(0, np.uint64)
+    thirds = text.rolling(low, 3)
     top = np.uint64(64 - 18)
     thirds = (thirds >> top).astype(np.int32)
     owner = np.concatenate(owners)

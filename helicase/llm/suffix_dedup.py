@@ -6,19 +6,20 @@ Earlier means a smaller doc_id, or an earlier start in the same document. Steps:
    have equal keys, and neighbouring starts mostly share one, so a document is a row of windows (starts lo..lo+n-1 with
    one key), about one for 33 bytes. Keys that occur once hold no repeat. A bit table of fixed size, made from the keys'
    counts, tells the windows that may.
-2. Windows with the same bytes are collapsed to the first of them by an aggregation of their hashes; all others are
-   repeats whole. Texts of windows travel only from here on, and only for first windows whose key has others; they are
-   cut from the documents' segments, in which overlapping windows are stored once.
+2. Windows with the same bytes (by a hash of 128 bits) are collapsed to the first of them by an aggregation; all others
+   are repeats whole. Texts of windows travel only from here on, and only for first windows whose key has others; they are
+   cut from the documents' segments, of bounded length, in which overlapping windows are stored once.
 3. The first windows are dealt by their key. Each task sorts the suffixes that start in its windows by two-stage sorting
    (only those smaller than their successors are sorted directly, the rest are induced by a scan over buckets of first
    bytes) and computes common prefixes of neighbours; starts whose neighbours agree on `size` bytes are equal strings,
-   and all but the first of each are repeats. A key with more than HOT different windows isn't dealt to one task: its
-   starts are aggregated by a 128-bit hash of their strings instead.
+   and all but the first of each are repeats. The windows of a key that has more than GROUP different ones are cut into
+   their single starts, which are dealt to several groups by a second key, taken from all their bytes, and sorted there.
 4. Repeats become spans, spans are gathered by document (its own only) and cut out of its bytes.
 
 Edge cases: a null text is empty; texts shorter than `size` lose nothing; rows whose doc_id is null lose nothing and
-cause no removal; doc_ids are taken to be unique (of repeated rows with one doc_id and one text neither is earlier); an
-empty table gives an empty result; columns besides doc_id and text pass through.
+cause no removal; rows with one doc_id and different texts are different documents, in the order of a hash of the text;
+of rows with one doc_id and one text neither is earlier; an empty table gives an empty result; columns besides doc_id
+and text, whatever their names, pass through, but for those that the result adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ from . import tables, text
 SIZE, GRAM = 100, 36
 #: Bits of the table that tells which keys may repeat: 16 MB, whatever the corpus. With more repeated keys than that it tells less, and more windows go on to the exact steps.
 TABLE_BITS = 27
-#: Different windows of one key that one task sorts.
-HOT = 4_000
+#: Different windows of a group that is sorted together.
+GROUP = 4_000
+#: Bytes after which a segment ends, and so the windows that one row of the wanted ones can hold.
+SEGMENT = 1 << 16
 _MOST_STARTS = 2048
 
 
@@ -55,7 +58,7 @@ def windows(data: np.ndarray, at: np.ndarray, size: int, gram: int) -> tuple[np.
     empty = np.empty(0, np.int64)
     if n < size:
         return empty, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    grams = text.Poly(data).rolling(gram)
+    grams = text.rolling(data, gram)
     least = _slide_min(grams, size - gram + 1)
     last = np.repeat(at[1:], np.diff(at))[: len(least)] - size
     start = np.flatnonzero(np.arange(len(least)) <= last)
@@ -102,54 +105,67 @@ def _mark(table_bits: int, bucket_bits: int):
     """The slots of repeated keys, bucket by bucket, as sorted 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        def slots(bucket: int, held: list[np.ndarray]) -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held))
+            found = np.unique(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - table_bits)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), text.binary([found.tobytes()])], ["bucket", "slots"])
+
+        now, held = -1, []
         for batch in batches:
-            for bucket, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(np.frombuffer(keys, np.uint64))
-        for bucket in list(held):
-            keys = np.sort(np.concatenate(held.pop(bucket)))
-            slots = np.unique(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - table_bits)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), text.binary([slots.tobytes()])], ["bucket", "slots"])
+            for bucket, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys"), strict=True):
+                if held and bucket != now:
+                    yield slots(now, held)
+                    held = []
+                now = bucket
+                held.append(np.frombuffer(keys.as_py(), np.uint64))
+        if held:
+            yield slots(now, held)
 
     return run, "bucket int, slots binary"
 
 
-_FOUND = "doc_id long, lo long, n long, key long, inside boolean, same long, body binary"
+_FOUND = "doc_id long, part long, lo long, n long, seg long, key long, inside boolean, same long, check long, body binary"
+_OWN = ["doc_id", "part"]
 
 
 def _candidates(size: int, gram: int, table_bits: int, table):
     """Windows whose key may repeat, without a body, and the segments that they cover, without a key."""
-    names = ["doc_id", "lo", "n", "key", "inside", "same", "body"]
+    names = ["doc_id", "part", "lo", "n", "seg", "key", "inside", "same", "check", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch, data, at in text.steps(batches):
             row, lo, many, key, grams = windows(data, at, size, gram)
-            docs = batch.column("doc_id").cast(pa.int64())
+            docs, part = batch.column("doc_id"), batch.column("part")
             slot = (key >> np.uint64(64 - table_bits)).astype(np.int64)
-            use = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 & docs.is_valid().to_numpy(zero_copy_only=False)[row])
+            use = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
             if not len(use):
                 continue
             row, lo, many, key = row[use], lo[use], many[use], key[use]
             inside = _repeats_inside(lo, many, key, grams, size - gram + 1)
             end = lo + many + size - 1
-            same = text.Poly(data).of(lo, end, 40)
-            none = lambda kind, n: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array(lo - at[row]), pa.array(many), pa.array(key.view(np.int64)), pa.array(inside), pa.array(same.view(np.int64)), none(pa.binary(), len(row))], names)
+            same, check = text.hashes(data, lo, end, 40)
+            place = lo - at[row]
             fresh = np.ones(len(row), bool)
-            fresh[1:] = (row[1:] != row[:-1]) | (lo[1:] > end[:-1])
+            fresh[1:] = (row[1:] != row[:-1]) | (lo[1:] > end[:-1]) | (place[1:] // SEGMENT != place[:-1] // SEGMENT)
             first = np.flatnonzero(fresh)
+            seg = place[first][np.cumsum(fresh) - 1]
+            none = lambda kind, n: pa.nulls(n, kind)
+            pick = pa.array(row)
+            yield pa.RecordBatch.from_arrays([docs.take(pick), part.take(pick), pa.array(place), pa.array(many), pa.array(seg), pa.array(key.view(np.int64)), pa.array(inside), pa.array(same.view(np.int64)), pa.array(check.view(np.int64)), none(pa.binary(), len(row))], names)
             stop = end[np.append(first[1:], len(row)) - 1]
-            row, lo = row[first], lo[first]
-            ends = np.concatenate(([0], np.cumsum(stop - lo)))
-            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(ends), pa.py_buffer(data[text.ranges(lo, stop - lo)])]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array(lo - at[row]), pa.array(stop - lo), none(pa.int64(), len(row)), none(pa.bool_(), len(row)), none(pa.int64(), len(row)), body], names)
+            row, lo, place = row[first], lo[first], place[first]
+            pick, n = pa.array(row), len(row)
+            yield pa.RecordBatch.from_arrays([docs.take(pick), part.take(pick), pa.array(place), pa.array(stop - lo), pa.array(place), none(pa.int64(), n), none(pa.bool_(), n), none(pa.int64(), n), none(pa.int64(), n), text.cut(data, lo, stop).cast(pa.binary())], names)
 
     return run
 
 
+_WINDOW = "key long, n long, doc_id long, part long, lo long, inside boolean, groups long, body binary"
+
+
 def _bodies(size: int):
-    """The wanted windows' texts, cut from segments."""
+    """The wanted windows' texts, cut from their segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in text.steps(batches, column="body"):
@@ -157,15 +173,38 @@ def _bodies(size: int):
             flat = wanted.flatten()
             row = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             lo, many = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "n"))
-            base = batch.column("seg").to_numpy()[row]
-            use = np.flatnonzero((lo >= base) & (lo + many + size - 1 <= base + np.diff(at)[row]))
-            row, start, length = row[use], at[row[use]] + lo[use] - base[use], many[use] + size - 1
-            ends = np.concatenate(([0], np.cumsum(length)))
-            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(use), [None, pa.py_buffer(ends), pa.py_buffer(data[text.ranges(start, length)])]).cast(pa.binary())
-            pick = pa.array(use)
-            yield pa.RecordBatch.from_arrays([flat.field("key").take(pick), flat.field("n").take(pick), batch.column("doc_id").take(pa.array(row)), flat.field("lo").take(pick), flat.field("inside").take(pick), flat.field("hot").take(pick), body], ["key", "n", "doc_id", "lo", "inside", "hot", "body"])
+            start = at[row] + lo - batch.column("seg").to_numpy()[row]
+            body = text.cut(data, start, start + many + size - 1).cast(pa.binary())
+            own = [batch.column(c).take(pa.array(row)) for c in _OWN]
+            yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("n"), *own, flat.field("lo"), flat.field("inside"), flat.field("groups"), body], ["key", "n", *_OWN, "lo", "inside", "groups", "body"])
+
+    return run, _WINDOW
 
-    return run, "key long, n long, doc_id long, lo long, inside boolean, hot boolean, body binary"
+
+def _single_starts(size: int):
+    """Windows as starts of their own, with a second key in the first; of equal strings in a step only the first, the others as spans (n is then 0).
+
+    Equal strings of one key have equal second keys, so none is parted from another.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, at in text.steps(batches, text.STEP_BYTES // 8, "body"):
+            key, many, docs, part, lo, groups = (batch.column(c).to_numpy() for c in ("key", "n", "doc_id", "part", "lo", "groups"))
+            start = text.ranges(at[:-1], many)
+            row, place = np.repeat(np.arange(len(many)), many), text.ranges(lo, many)
+            body = text.cut(data, start, start + size)
+            number = body.dictionary_encode().indices.to_numpy()
+            order = np.lexsort((place, part[row], docs[row], number, key[row]))
+            again = np.zeros(len(order), bool)
+            again[1:] = (number[order][1:] == number[order][:-1]) & (key[row][order][1:] == key[row][order][:-1])
+            deal = (text.hashes(data, start, start + size, 61)[0] % groups[row].astype(np.uint64)).astype(np.uint64)
+            second = text.mix(key[row].view(np.uint64) ^ text.mix(deal, 71), 72).view(np.int64)
+            for which, n in ((order[~again], 1), (order[again], 0)):
+                r, k = row[which], len(which)
+                rest = body.take(pa.array(which)).cast(pa.binary()) if n else pa.nulls(k, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(second[which]), pa.array(np.full(k, n)), pa.array(docs[r]), pa.array(part[r]), pa.array(place[which]), pa.array(np.zeros(k, bool)), pa.array(np.ones(k, np.int64)), rest], ["key", "n", *_OWN, "lo", "inside", "groups", "body"])
+
+    return run, _WINDOW
 
 
 def two_stage_sort(codes: np.ndarray, take: np.ndarray, depth: int) -> np.ndarray:
@@ -243,7 +282,7 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, limit: int) -> np.ndar
 
 
 def repeated_starts(bodies: np.ndarray, ends: np.ndarray, many: np.ndarray, size: int) -> np.ndarray:
-    """For windows in the order of (document, lo): for each start, window after window, whether its string starts earlier among them."""
+    """For windows in the order of documents and, within them, of lo: for each start, window after window, whether its string starts earlier among them."""
     lengths = np.diff(ends)
     n_windows = len(many)
     codes = np.zeros(len(bodies) + n_windows, np.uint16)
@@ -277,7 +316,7 @@ def repeated_starts(bodies: np.ndarray, ends: np.ndarray, many: np.ndarray, size
     return repeated[starts]
 
 
-def _spans_of(docs: np.ndarray, lo: np.ndarray, many: np.ndarray, repeated: np.ndarray, size: int) -> pa.RecordBatch:
+def _spans_of(docs: np.ndarray, part: np.ndarray, lo: np.ndarray, many: np.ndarray, repeated: np.ndarray, size: int) -> pa.RecordBatch:
     window = np.repeat(np.arange(len(many)), many)
     place = text.ranges(lo, many)
     window, place = window[repeated], place[repeated]
@@ -285,7 +324,7 @@ def _spans_of(docs: np.ndarray, lo: np.ndarray, many: np.ndarray, repeated: np.n
     fresh[1:] = (window[1:] != window[:-1]) | (place[1:] != place[:-1] + 1)
     begin = np.flatnonzero(fresh)
     last = np.append(begin[1:], len(place)) - 1 if len(place) else begin
-    return pa.RecordBatch.from_arrays([pa.array(docs[window[begin]]), pa.array(place[begin]), pa.array(place[last] + size)], ["doc_id", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(docs[window[begin]]), pa.array(part[window[begin]]), pa.array(place[begin]), pa.array(place[last] + size)], [*_OWN, "lo", "hi"])
 
 
 def _sort_windows(size: int, chunk: int = 500_000):
@@ -297,10 +336,10 @@ def _sort_windows(size: int, chunk: int = 500_000):
         use = (np.repeat(count, count) > 1) | rows.column("inside").to_numpy()
         if not use.any():
             return
-        rows = rows.filter(pa.array(use)).sort_by([("doc_id", "ascending"), ("lo", "ascending")])
+        rows = rows.filter(pa.array(use)).sort_by([("doc_id", "ascending"), ("part", "ascending"), ("lo", "ascending")])
         body, ends = text.column_bytes(rows.column("body"))
-        docs, lo, many = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "lo", "n"))
-        yield _spans_of(docs, lo, many, repeated_starts(body, ends, many, size), size)
+        docs, part, lo, many = (rows.column(c).to_numpy().astype(np.int64) for c in (*_OWN, "lo", "n"))
+        yield _spans_of(docs, part, lo, many, repeated_starts(body, ends, many, size), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -325,62 +364,41 @@ def _sort_windows(size: int, chunk: int = 500_000):
     return run
 
 
-def _positions(size: int):
-    """Every start of a hot key's windows with a 128-bit hash of its string."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in text.steps(batches, text.STEP_BYTES // 4, "body"):
-            many = batch.column("n").to_numpy().astype(np.int64)
-            starts = text.ranges(at[:-1], many)
-            row = np.repeat(np.arange(len(many)), many)
-            poly = text.Poly(data)
-            a, b = poly.of(starts, starts + size, 51), poly.of(starts, starts + size // 2, 52)
-            place = text.ranges(batch.column("lo").to_numpy(), many)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(place)], ["a", "b", "doc_id", "lo"])
-
-    return run, "a long, b long, doc_id long, lo long"
-
-
 def repeat_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(doc_id, lo, hi): byte ranges whose union is what is to be removed."""
+    """(doc_id, part, lo, hi): byte ranges whose union is what is to be removed; part is the xxhash64 of the text."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    bucket_bits = max(6, (tables.shuffle_partitions(spark) - 1).bit_length())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), "text").where("doc_id is not null")
+    bucket_bits = max(6, (4 * tables.shuffle_partitions(spark) - 1).bit_length())
     blocks, blocked = _mark_blocks(size, gram, bucket_bits)
     mark, marked = _mark(TABLE_BITS, bucket_bits)
     bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    for row in docs.mapInArrow(blocks, blocked).repartition("bucket").mapInArrow(mark, marked).toLocalIterator():  # slots of a table of fixed size
+    for row in docs.mapInArrow(blocks, blocked).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(mark, marked).toLocalIterator():  # slots of a table of fixed size
         slots = np.frombuffer(row["slots"], np.uint32)
         np.bitwise_or.at(bits, slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
     table = spark.sparkContext.broadcast(bits)
     found = tables.keep(docs.mapInArrow(_candidates(size, gram, TABLE_BITS, table), _FOUND))
-    thin = found.where("key is not null").select("key", "same", "n", "doc_id", "lo", "inside")
-    firsts = tables.keep(thin.groupBy("key", "same", "n").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max("inside").alias("inside"), F.count("*").alias("copies")).select("key", "same", "n", "first.doc_id", "first.lo", "inside", "copies"))
-    copied = firsts.where("copies > 1").select("key", "same", "n", F.col("doc_id").alias("d"), F.col("lo").alias("l"))
-    again = thin.join(copied, ["key", "same", "n"]).where("doc_id <> d or lo <> l")
-    spans = again.select("doc_id", "lo", (F.col("lo") + F.col("n") - 1 + size).alias("hi"))
-    kinds = firsts.groupBy("key").agg(F.count("*").alias("kinds"), F.max("inside").alias("any")).where("kinds > 1 or any").select("key", (F.col("kinds") > HOT).alias("hot"))
-    wanted = firsts.join(kinds, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "n", "lo", "inside", "hot")).alias("wanted"))
-    bodies, cut = _bodies(size)
-    segments = found.where("key is null").select("doc_id", F.col("lo").alias("seg"), "body")
-    texts = tables.keep(segments.join(wanted, "doc_id").select("doc_id", "seg", "body", "wanted").mapInArrow(bodies, cut))
-    cold = texts.where("not hot").select("key", "n", "doc_id", "lo", "inside", "body")
-    spans = spans.union(cold.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_windows(size), "doc_id long, lo long, hi long"))
-    hot = texts.where("hot")
-    if not hot.isEmpty():
-        positions, placed = _positions(size)
-        each = tables.keep(hot.select("n", "doc_id", "lo", "body").mapInArrow(positions, placed))
-        least = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("many")).where("many > 1").select("a", "b", "first")
-        repeated = each.join(least, ["a", "b"]).where(F.struct("doc_id", "lo") > F.col("first"))
-        spans = spans.union(repeated.select("doc_id", "lo", (F.col("lo") + size).alias("hi")))
-    return spans
-
-
-def _cut(names: list[str], as_text: bool):
+    bytes_of = ["key", "same", "check", "n"]
+    thin = found.where("key is not null").select(*bytes_of, "doc_id", "part", "lo", "seg", "inside")
+    first = F.min(F.struct("doc_id", "part", "lo", "seg")).alias("first")
+    firsts = tables.keep(thin.groupBy(*bytes_of).agg(first, F.max("inside").alias("inside"), F.count("*").alias("copies")).select(*bytes_of, "first.*", "inside", "copies"))
+    copied = firsts.where("copies > 1").select(*bytes_of, F.col("doc_id").alias("d"), F.col("part").alias("p"), F.col("lo").alias("l"))
+    again = thin.join(copied, bytes_of).where("doc_id <> d or part <> p or lo <> l")
+    spans = again.select("doc_id", "part", "lo", (F.col("lo") + F.col("n") - 1 + size).alias("hi"))
+    kinds = firsts.groupBy("key").agg(F.count("*").alias("kinds"), F.max("inside").alias("any")).where("kinds > 1 or any").select("key", F.ceil(F.col("kinds") / GROUP).alias("groups"))
+    wanted = firsts.join(kinds, "key").groupBy("doc_id", "part", "seg").agg(F.collect_list(F.struct("key", "n", "lo", "inside", "groups")).alias("wanted"))
+    segments = found.where("key is null").select("doc_id", "part", "seg", "body").dropDuplicates(["doc_id", "part", "seg"])
+    texts = tables.keep(segments.join(wanted, ["doc_id", "part", "seg"]).mapInArrow(*_bodies(size)))
+    singles = tables.keep(texts.where("groups > 1").mapInArrow(*_single_starts(size)))
+    spans = spans.union(singles.where("n = 0").select("doc_id", "part", "lo", (F.col("lo") + size).alias("hi")))
+    windowed = texts.where("groups = 1").union(singles.where("n = 1")).select("key", "n", "doc_id", "part", "lo", "inside", "body")
+    return spans.union(windowed.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_windows(size), "doc_id long, part long, lo long, hi long"))
+
+
+def _cut(names: list[str], found: str, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in text.steps(batches):
             delta = np.zeros(len(data) + 1, np.int64)
-            spans = batch.column("__spans")
+            spans = batch.column(found)
             flat = spans.flatten()
             many = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             base, top = np.repeat(at[:-1], many), np.repeat(at[1:], many)
@@ -411,10 +429,10 @@ def drop_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, as_text: b
 
     as_text: with `text` cut instead of `kept`; a character of which only some bytes stay is left out.
     """
-    spans = repeat_spans(docs, size, gram)
-    by_doc = tables.keep(spans.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")))
+    spans, found, doc, part = repeat_spans(docs, size, gram), *(tables.unused(docs, c) for c in ("spans", "spans_doc", "spans_text"))
+    by_doc = tables.keep(spans.groupBy(F.col("doc_id").alias(doc), F.col("part").alias(part)).agg(F.collect_list(F.struct("lo", "hi")).alias(found)))
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    joined = docs.join(by_doc, F.col("doc_id").cast("long") == F.col("__doc"), "left").select(*(docs[c] for c in names), "__spans")
+    joined = docs.join(by_doc, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(part)), "left").select(*(docs[c] for c in names), found)
     fields = [f for f in docs.schema.fields if f.name in names and (as_text or f.name != "text")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, n_removed long, n_spans long" + ", kept binary" * (not as_text)
-    return joined.mapInArrow(_cut(names, as_text), schema)
+    return joined.mapInArrow(_cut(names, found, as_text), schema)

@@ -2,39 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import keep
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, as in local tests, a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="helicase-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["components", "keep", "shuffle_partitions", "unused"]
 
 
-def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: a later loss of executors costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/helicase/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, component): the smallest id reachable over the links (a, b), for every id in a link.
 
     Large-star and small-star rounds until only stars are left; a hub's neighbours are aggregated before
-    they are shuffled and its join is one that Spark may split. An empty input gives an empty table.
+    they are shuffled and its join is one that Spark may split. An empty input gives an empty table; links that need
+    more than `rounds` rounds, which halve the distances, raise an error.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     for _ in range(rounds):
@@ -48,5 +41,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+    else:
+        raise RuntimeError(f"components not complete after {rounds} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

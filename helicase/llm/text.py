@@ -1,4 +1,4 @@
-"""Whole Arrow batches of texts as byte arrays: slices, polynomial hashes, words, lines.
+"""Whole Arrow batches of texts as byte arrays: slices, hashes, words, lines.
 
 All helpers work on UTF-8 bytes, many documents at a time, so that no Python code runs for each word.
 A null text counts as an empty one.
@@ -10,26 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Bytes of text that one step holds at once; a longer document makes a step of its own.
 STEP_BYTES = 1_000_000
+#: Bytes up to which a range is hashed together with others.
+SHORT = 32
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=U64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            p = np.full(size, base, dtype=U64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["up"][:n], _powers["down"][:n]
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -40,25 +29,69 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-class Poly:
-    """Prefix sums from which the hash of any byte range is two look-ups away."""
-
-    def __init__(self, data: np.ndarray):
-        up, self._down = _power(len(data) + 1)
-        self._prefix = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=self._prefix[1:])
-
-    def raw(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self._prefix[stop] - self._prefix[start]) * self._down[start]
-
-    def of(self, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
-        """Hashes of the ranges [start, stop), lengths included."""
-        return mix(self.raw(start, stop) + (stop - start).astype(U64) * U64(0xD6E8FEB86659FD93), seed)
-
-    def rolling(self, k: int) -> np.ndarray:
-        """Hashes of all windows of k bytes."""
-        n = len(self._prefix) - k
-        return mix((self._prefix[k:] - self._prefix[:-k]) * self._down[:n], k) if n > 0 else np.empty(0, U64)
+def _join(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of two neighbouring strings to that of both; not linear, so no arrangement of equal parts cancels."""
+    h = a >> U64(29)
+    h ^= a
+    h *= U64((0xD6E8FEB86659FD93 + 2 * level * 0x2545F4914F6CDD1D) % (1 << 64) | 1)
+    h += b
+    return h
+
+
+def rolling(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of k bytes. They pick places and partitions; nothing is taken to be equal because of them."""
+    if len(data) < k:
+        return np.empty(0, U64)
+    part, width, out, level, done = _TABLE[data], 1, None, 0, 0
+    n = len(data) - k + 1
+    while True:
+        if k & width:
+            out = part[:n] if out is None else _join(out, part[done : done + n], 64 + level)
+            done += width
+        if 2 * width > k:
+            return mix(out, k)
+        part = _join(part[:-width], part[width:], level)
+        width, level = 2 * width, level + 1
+
+
+def cut(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.LargeBinaryArray:
+    """The byte ranges [start, stop) as a binary array."""
+    length = stops - starts
+    ends = np.concatenate(([0], np.cumsum(length)))
+    body = data[ranges(starts, length)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(body)])
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each byte range among the different ones, and these; ranges are told apart by their bytes."""
+    coded = cut(data, starts, stops).dictionary_encode()
+    body, at = column_bytes(coded.dictionary)
+    raw, at = body.tobytes(), at.tolist()
+    return coded.indices.to_numpy(), [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each byte range, independent of each other; neither is linear in the bytes.
+
+    Short ranges are mixed eight bytes at a time, all ranges at once; longer ones go through xxHash.
+    """
+    length = stops - starts
+    out = [mix(length.astype(U64), seed + i) for i in (101, 211)]
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    short = np.flatnonzero((length <= SHORT) & (length > 0))
+    for j in range(0, SHORT, 8):
+        short = short[length[short] > j]
+        rest = np.minimum(length[short] - j, 8).astype(U64)
+        word = words[starts[short] + j] & (~U64(0) >> (U64(64) - U64(8) * rest))
+        for i in range(2):
+            out[i][short] = mix(out[i][short] ^ word, 5 * j + i)
+    long = np.flatnonzero(length > SHORT)
+    if len(long):
+        view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+        pair = np.frombuffer(b"".join([digest(view[i:j], seed) for i, j in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]), U64)
+        out[0][long], out[1][long] = pair[::2], pair[1::2]
+    return out[0], out[1]
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

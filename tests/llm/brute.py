@@ -79,3 +79,9 @@ def distance(a: str, b: str) -> int:
 
 def sha(x: str | bytes) -> str:
     return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+def thue_morse(size: int) -> tuple[str, str]:
+    """Two texts of letters a and b that complement each other; sums of powers can't tell them apart."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(size))
+    return one, one.translate({97: 98, 98: 97})

@@ -4,8 +4,13 @@ import random
 
 import pytest
 
+from .brute import thue_morse
+
 #: Texts with what is likely to go wrong: nulls, nothing, blanks, no blanks, several scripts, breaks of all kinds.
 ODD = [None, "", " ", "\n\n", "one", "a b", "İstanbul ǅ ß ﬃ", "x" * 3000, "To " * 400, "日本語 " * 80, "don't we'll they've I'm it's 'tis  '  s", "\r\n tab\tand\x0bmore\x0c ", "emoji 👩‍👩‍👧   line", "a\x00b\x00" * 60, "<|endoftext|> and <|im_start|>"]
+# Words, lines and documents that a sum of powers modulo 2**64 takes for equal.
+_PAIRS = [t for n in (1024, 2048) for t in thue_morse(n)]
+ODD += [*_PAIRS, *(f"{x} {y} {x}" for x, y in zip(_PAIRS, _PAIRS[1:])), *(f"{x}\nline {i}" for x in _PAIRS[:2] for i in range(3))]
 
 
 @pytest.fixture(scope="session")
@@ -31,7 +36,7 @@ def corpus() -> list[tuple[int, str | None]]:
         elif kind == 3:
             t = base
         elif kind == 4:
-            t = ODD[(i // 9) % len(ODD)]
+            t = ODD[(i // 9) % 15]
         else:
             t = prose(rng.randint(1, 150)) + "\n" + prose(rng.randint(1, 60))
         out.append((3 * i + 7, t))

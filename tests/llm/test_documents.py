@@ -47,16 +47,28 @@ def test_lines_low_threshold(docs, corpus):
 
 
 def test_perfect_hash():
-    keys = np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64)
-    hashed = line_dedup.PerfectHash.build(keys)
-    assert sorted(hashed.index(keys).tolist()) == list(range(5000))
+    keys, checks = np.random.default_rng(1).integers(0, 1 << 64, (2, 5000), dtype=np.uint64)
+    keys[:40] = keys[0]  # told apart by the second number alone
+    hashed = line_dedup.PerfectHash.build(keys, checks)
+    assert sorted(hashed.index(keys, checks).tolist()) == list(range(5000))
     sizes, bits = zip(*hashed.pack(), strict=True)
-    assert (line_dedup.PerfectHash.unpack(list(sizes), list(bits)).index(keys) == hashed.index(keys)).all()
+    assert (line_dedup.PerfectHash.unpack(list(sizes), list(bits), hashed.seed).index(keys, checks) == hashed.index(keys, checks)).all()
 
 
-@pytest.mark.parametrize(("size", "gram", "hot"), [(100, 36, 4000), (40, 12, 4000), (40, 12, 3)])
-def test_repeats(docs, corpus, size, gram, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def test_perfect_hash_takes_another_seed(monkeypatch):
+    monkeypatch.setattr(line_dedup, "_LEVELS", 2)
+    keys, checks = np.random.default_rng(2).integers(0, 1 << 64, (2, 12), dtype=np.uint64)
+    seeds = set()
+    for i in range(3, 12):
+        hashed = line_dedup.PerfectHash.build(keys[:i], checks[:i])
+        assert sorted(hashed.index(keys[:i], checks[:i]).tolist()) == list(range(i))
+        seeds.add(hashed.seed)
+    assert len(seeds) > 1
+
+
+@pytest.mark.parametrize(("size", "gram", "group"), [(100, 36, 4000), (40, 12, 4000), (40, 12, 3)])
+def test_repeats(docs, corpus, size, gram, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     got = suffix_dedup.drop_repeats(docs, size=size, gram=gram)
     have = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()}
     assert have == brute.repeats(corpus, size)
@@ -159,7 +171,49 @@ def test_nulls_everywhere(spark):
     assert fingerprint.fingerprints(rows).count() == 3
 
 
-def test_poly_hash_depends_on_content_alone():
-    data = np.frombuffer(b"abcXabcYabcd", np.uint8)
-    h = text.Poly(data).of(np.array([0, 4, 8, 8]), np.array([3, 7, 11, 12]))
-    assert h[0] == h[1] == h[2] != h[3]
+def test_hashes_depend_on_content_alone():
+    data = np.frombuffer(b"abcXabcYabcd" + b"q" * 50 + b"Z" + b"q" * 50, np.uint8)
+    for h in text.hashes(data, np.array([0, 4, 8, 8, 12, 63, 12]), np.array([3, 7, 11, 12, 62, 113, 61])):
+        assert h[0] == h[1] == h[2] != h[3] and h[4] == h[5] != h[6]
+    for k in (1, 3, 7, 36):
+        h = text.rolling(np.frombuffer(b"x" * 40 + b"y" + b"x" * 40, np.uint8), k)
+        assert len(h) == 82 - k and len(set(h.tolist())) == k + 1
+
+
+def test_numbered_rows_of_one_doc_id(spark):
+    """Rows that share a doc_id are cut by their own lines and passages only."""
+    a, b = brute.thue_morse(512)
+    rows = [(1, a + "\n" + "first " * 9), (1, "second text " * 30), (2, a), (2, a), (3, "x" + a), (4, "w " * 30 + "\n" + a), (5, a), (6, a)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.drop_lines(table).collect())
+    assert kept == sorted([(1, "first " * 9, 1), (1, "second text " * 30, 0), (2, "", 1), (2, "", 1), (3, "x" + a, 0), (4, "w " * 30, 1), (5, "", 1), (6, a, 0)])
+    cut = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.drop_repeats(table).collect()]
+    alone = {r["n_bytes"]: r["n_removed"] for r in suffix_dedup.drop_repeats(table.where("text like 'second%'")).collect()}
+    assert (1, 360, alone[360]) in cut and cut.count((2, 512, 512)) == 2 and (3, 513, 512) in cut
+
+
+def test_one_key_in_many_windows(spark, monkeypatch):
+    """A passage between texts of its own in every document: its key's windows are dealt to groups by a second key."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 50)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    corpus = [(i, "".join(rng.choice("ijklmnop") for _ in range(30)) + passage + "".join(rng.choice("rstuv") for _ in range(rng.choice([3, 30])))) for i in range(1500)]
+    got = suffix_dedup.drop_repeats(spark.createDataFrame(corpus, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()} == brute.repeats(corpus, 100)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    names = ["doc_id", "text", "gone", "gone_doc", "spans", "Spans_doc", "kept", "n_lines", "bucket", "part", "text_hash", "component_id", "a", "b"]
+    table = spark.createDataFrame([(i, "some words of a text " * 9, *"xyzuvwabcdef") for i in range(6)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    assert line_dedup.drop_lines(table).where("n_dropped = 1 and gone = 'x' and bucket = 'a'").count() == 5
+    assert suffix_dedup.drop_repeats(table).where("n_removed = 189 and spans = 'z' and Spans_doc = 'u'").count() == 5
+    assert minhash.near_duplicates(table).where("kept").count() == 1
+    assert fingerprint.fingerprints(table).where("near_next = 1").count() == 6
+
+
+def test_a_large_index_goes_to_each_task_once(spark):
+    """Bytes to the probing tasks grow with lines and index, not with their product."""
+    corpus = [(i, "\n".join(f"line {i if j % 3 else j} {j} of a text that is long enough" for j in range(40))) for i in range(600)]
+    table = spark.createDataFrame(corpus, "doc_id long, text string").repartition(4)
+    got = line_dedup.drop_lines(table, shards=16)
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()} == brute.lines(corpus)
