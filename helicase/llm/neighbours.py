@@ -1,18 +1,21 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Centroids come from balanced splitting of a bounded sample: a cluster above its share is split again until every leaf
-holds about as many sampled vectors. Every vector goes to its nearest centroid's list, and boundary vectors also to
-further lists whose centroid is hardly farther away, unless a list already chosen lies closer to that centroid. A query
-searches the centroids by best-first search in a neighbour graph held in memory, keeps the nearest lists until they hold
-enough vectors for k neighbours, drops lists farther than a ratio of those, and scans the lists that are left with exact
-Euclidean distances in double precision. A query that still has fewer than k neighbours is compared with all vectors.
+holds about LEAF sampled vectors, so their number grows with the table up to CENTROIDS. Every vector goes to its nearest
+centroid's list, and boundary vectors, those hardly farther from further centroids than from their second, also to these
+lists, unless a list already chosen lies closer to that centroid. A query searches the centroids by best-first search in
+a neighbour graph held in memory: it takes the nearest lists until they hold enough vectors for k neighbours, and all
+lists whose distance is no more than RATIO of the way from that of these to the query's root mean square distance from
+all centroids (so the ratio means the same for clustered vectors and for those that are all about equally far apart). It
+prunes the rest and scans what is left with exact Euclidean distances in double precision. No number of lists is fixed. A query that still has fewer than k neighbours is compared with all
+vectors.
 
 Lists are tables of packed blocks joined to packed blocks of queries, so a list may be of any length and Spark may split
 it between tasks. The driver and the broadcast hold the centroids and their graph only, at most CENTROIDS of them.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or candidates, and
-neither do vectors of another length than the most frequent; rows whose vec_id is null take no part; a repeated vec_id
-is a candidate once for each row, but a query's own id is never its candidate; with fewer candidates than k all are
+neither do vectors of another length than the most frequent; rows whose vec_id is null take no part; of rows with one
+vec_id the nearest counts as that candidate, and queries with one vec_id share one answer, but a query's own id is never its candidate; with fewer candidates than k all are
 returned; an empty table gives an empty result.
 """
 
@@ -30,10 +33,14 @@ from pyspark.sql import functions as F
 from . import tables, text
 
 #: Bounds of the sample that is fitted and of the centroids.
-SAMPLE, CENTROIDS = 16_384, 1_024
+SAMPLE, CENTROIDS = 16_384, 4_096
 #: Queries that are packed at once; fewer when each searches all lists.
 BATCH = 16_384
-LEAF, COPIES, BOUNDARY, PROBES, RATIO, BEAM, LINKS = 24, 6, 1.15, 96, 1.6, 160, 24
+LEAF, COPIES, BOUNDARY, RATIO, LINKS = 4, 2, 1.1, 0.68, 24
+#: Lists whose distance is that of the nearest but for this factor are never pruned: to a vector far from all, all are like that.
+NEAR = 1.05
+#: Centroids that a search looks into beyond its limit before it ends.
+PATIENCE = 24
 
 
 @dataclass
@@ -42,6 +49,14 @@ class Index:
     graph: np.ndarray
     entries: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.mean, self.square = self.centroids.mean(0), (self.centroids**2).sum(1).mean()
+
+    def limit(self, query: np.ndarray, least: float, ratio: float) -> float:
+        """The squared distance up to which lists are kept, from that of the lists that hold enough vectors."""
+        usual = np.sqrt(max((query * query).sum() - 2 * query @ self.mean + self.square, 0))
+        return max(np.sqrt(least) + ratio * (usual - np.sqrt(least)), np.sqrt(least) * NEAR) ** 2 + 1e-12
+
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
@@ -78,51 +93,59 @@ def balanced_centroids(sample: np.ndarray, leaf: int, most: int) -> np.ndarray:
 def merged(centroids: np.ndarray) -> np.ndarray:
     """The centroids without those that rounding cannot tell from an earlier one."""
     norm = (centroids * centroids).sum(1)
-    same = _distances(centroids, centroids) <= 1e-12 * (norm[:, None] + norm)
-    kept = np.zeros(len(centroids), bool)
-    for i in range(len(centroids)):
-        kept[i] = not (same[i] & kept).any()
+    kept = np.ones(len(centroids), bool)
+    for i in range(0, len(centroids), 256):
+        part = slice(i, i + 256)
+        same = _distances(centroids[part], centroids) <= 1e-12 * (norm[part, None] + norm)
+        for j in range(i, min(i + 256, len(centroids))):
+            kept[j] = not (same[j - i, :j] & kept[:j]).any()
     return centroids[kept]
 
 
 def build_graph(centroids: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each centroid's nearest others (padded with itself) and spread-out places to start from."""
+    """Each centroid's nearest others with as many from all over, and spread-out places to start from."""
     n = len(centroids)
-    far = _distances(centroids, centroids)
-    np.fill_diagonal(far, np.inf)
-    near = np.argsort(far, 1)[:, : min(links, max(0, n - 1))]
-    entries = [0] if n else []
-    np.fill_diagonal(far, 0)
-    while len(entries) < min(16, n):
-        entries.append(int(far[entries].min(0).argmax()))
-    return near, np.array(entries, np.int64)
-
-
-def search_graph(index: Index, query: np.ndarray, want: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids near the query, nearest first, and their squared distances: best-first search."""
+    near = np.empty((n, min(links, max(0, n - 1))), np.int64)
+    away = np.random.default_rng(6).integers(0, max(1, n), (n, min(links, n)))
+    for i in range(0, n, 256):
+        far = _distances(centroids[i : i + 256], centroids)
+        far[np.arange(len(far)), i + np.arange(len(far))] = np.inf
+        near[i : i + 256] = np.argsort(far, 1, kind="stable")[:, : near.shape[1]]
+    entries, least = [0] if n else [], np.full(n, np.inf)
+    while len(entries) < min(n, max(16, int(n**0.5))):
+        least = np.minimum(least, ((centroids - centroids[entries[-1]]) ** 2).sum(1))
+        entries.append(int(least.argmax()))
+    return np.concatenate((near, away), 1), np.array(entries, np.int64)
+
+
+def search_graph(index: Index, query: np.ndarray, sizes: np.ndarray, enough: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids found, nearest first, and their squared distances: best-first search until none ahead is within the limit that the lists with `enough` vectors set."""
     c = index.centroids
     seen = np.zeros(len(c), bool)
     seen[index.entries] = True
-    first = ((c[index.entries] - query) ** 2).sum(1)
-    front = list(zip(first.tolist(), index.entries.tolist(), strict=True))
+    front = list(zip(((c[index.entries] - query) ** 2).sum(1).tolist(), index.entries.tolist(), strict=True))
+    found = list(front)
     heapq.heapify(front)
-    best = [(-d, i) for d, i in front]
-    heapq.heapify(best)
+    beyond, nearest = 0, sorted(front)  # the lists that hold `enough` vectors, so far
     while front:
         d, i = heapq.heappop(front)
-        if len(best) >= beam and d > -best[0][0]:
-            break
+        if d > index.limit(query, nearest[-1][0], ratio) and sum(sizes[j] for _, j in nearest) >= enough:
+            beyond += 1
+            if beyond > PATIENCE:
+                break
         new = index.graph[i]
         new = new[~seen[new]]
         seen[new] = True
-        for e, j in zip(((c[new] - query) ** 2).sum(1).tolist(), new.tolist(), strict=True):
-            if len(best) < beam or e < -best[0][0]:
-                heapq.heappush(front, (e, j))
-                heapq.heappush(best, (-e, j))
-                if len(best) > beam:
-                    heapq.heappop(best)
-    got = sorted((-d, i) for d, i in best)[:want]
-    return np.array([i for _, i in got], np.int64), np.array([d for d, _ in got])
+        far = list(zip(((c[new] - query) ** 2).sum(1).tolist(), new.tolist(), strict=True))
+        found += far
+        for e in far:
+            heapq.heappush(front, e)
+            if e < nearest[-1]:
+                nearest = sorted([*nearest, e])
+                held = np.cumsum([sizes[j] for _, j in nearest])
+                nearest = nearest[: int(np.searchsorted(held, enough)) + 1]
+    found.sort()
+    return np.array([i for _, i in found], np.int64), np.array([d for d, _ in found])
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -164,14 +187,16 @@ def _least(v: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
 def _placed(batches: Iterator[pa.RecordBatch], c: np.ndarray, dim: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(vectors, ids, centroids nearest first, their squared distances) of the candidates of each batch."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            batch = whole.slice(at, 4096)
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
             v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
             few = _least(v, ids, most)
             v, ids = v[few], ids[few]
             far = _distances(v, c)
-            near = np.argsort(far, 1, kind="stable")[:, : 2 * COPIES]
-            yield v, ids, near, np.take_along_axis(far, near, 1)
+            some = np.argpartition(far, min(2 * COPIES, far.shape[1]) - 1, 1)[:, : 2 * COPIES]
+            d = np.take_along_axis(far, some, 1)
+            order = np.lexsort((some, d))
+            yield v, ids, np.take_along_axis(some, order, 1), np.take_along_axis(d, order, 1)
 
 
 def _count(shared, dim: int, most: int):
@@ -193,32 +218,31 @@ def _post(shared, dim: int, most: int, copies: int = COPIES):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value.centroids
-        between = _distances(c, c)
         for v, ids, near, d in _placed(batches, c, dim, most):
             chosen = np.zeros(near.shape, bool)
             chosen[:, 0] = True
             for j in range(1, near.shape[1] if copies > 1 else 1):
                 close = np.zeros(len(v), bool)
                 for i in range(j):
-                    close |= chosen[:, i] & (between[near[:, i], near[:, j]] < d[:, j] * 0.5)
-                chosen[:, j] = (d[:, j] <= d[:, 0] * BOUNDARY**2) & ~close & (chosen.sum(1) < copies)
+                    close |= chosen[:, i] & (((c[near[:, i]] - c[near[:, j]]) ** 2).sum(1) < d[:, j] * 0.5)
+                chosen[:, j] = (d[:, j] <= d[:, 1] * BOUNDARY**2) & ~close & (chosen.sum(1) < copies)
             row, col = np.nonzero(chosen)
             yield _blocks(("ids", "vectors"), ids[row], near[row, col], v[row])
 
     return run, "list int, ids binary, vectors binary"
 
 
-def lists_of(index: Index, query: np.ndarray, sizes: np.ndarray, probes: int, ratio: float, enough: int) -> np.ndarray:
-    """The nearest lists that hold `enough` vectors together (all, if there are fewer), and those hardly farther away."""
-    found, d = search_graph(index, query, probes)
+def lists_of(index: Index, query: np.ndarray, sizes: np.ndarray, ratio: float, enough: int) -> np.ndarray:
+    """The nearest lists that hold `enough` vectors together (all, if there are fewer), and those within the limit that they set."""
+    found, d = search_graph(index, query, sizes, enough, ratio)
     last = int(np.searchsorted(np.cumsum(sizes[found]), enough))
     if last < len(found):
-        return found[(np.arange(len(found)) <= last) | (d <= d[last] * ratio**2 + 1e-12)]
+        return found[(np.arange(len(found)) <= last) | (d <= index.limit(query, d[last], ratio))]
     order = np.argsort(((index.centroids - query) ** 2).sum(1), kind="stable")
     return np.union1d(found, order[: int(np.searchsorted(np.cumsum(sizes[order]), enough)) + 1])
 
 
-def _ask(shared, dim: int, sizes: np.ndarray, probes: int, ratio: float, enough: int | None):
+def _ask(shared, dim: int, sizes: np.ndarray, ratio: float, enough: int | None):
     """Packed queries of the lists that they search: all lists without `enough`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +253,7 @@ def _ask(shared, dim: int, sizes: np.ndarray, probes: int, ratio: float, enough:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
-                found = [every if enough is None else lists_of(index, q, sizes, probes, ratio, enough) for q in v]
+                found = [every if enough is None else lists_of(index, q, sizes, ratio, enough) for q in v]
                 row = np.repeat(np.arange(len(v)), [len(x) for x in found])
                 yield _blocks(("queries", "wanted"), ids[row], np.concatenate(found), v[row])
 
@@ -269,7 +293,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(sound & F.exists("v", lambda x: F.coalesce(x != 0, F.lit(False))))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = PROBES, ratio: float = RATIO, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = RATIO, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` (same columns) its k nearest rows of `vectors`."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -288,7 +312,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = PR
         sizes[number] = n
 
     def scan(copies: int, wanted: DataFrame, enough: int | None) -> DataFrame:
-        lists, probed = rows.mapInArrow(*_post(shared, dim, most, copies)), wanted.mapInArrow(*_ask(shared, dim, sizes, probes, ratio, enough))
+        lists, probed = rows.mapInArrow(*_post(shared, dim, most, copies)), wanted.mapInArrow(*_ask(shared, dim, sizes, ratio, enough))
         return lists.join(probed, "list").select("ids", "vectors", "queries", "wanted").mapInArrow(*_scan(dim, k)).distinct()
 
     near = tables.keep(scan(COPIES, asked, most))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import text
+from . import tables, text
 from .bpe import read_ranks
 from .pretokens import Encoded
 
@@ -49,6 +49,7 @@ def histogram(counted: DataFrame) -> DataFrame:
     document is cut at the limit; share, the part of the documents that the limit holds whole.
     """
     by = counted.groupBy(F.col("n_tokens").alias("n_tokens")).agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    by = tables.keep(by)  # read twice below, so that texts are encoded once
     # a row for each block of lengths that occurs: no more than the longest document has blocks
     total = by.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

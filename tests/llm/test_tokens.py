@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,15 @@ def test_table_survives_many_words():
         assert bytes(ids.astype(np.uint8)) == b"".join(texts) and counts.tolist() == [len(t) for t in texts]
 
 
+def test_table_tells_apart_what_one_hash_confuses(monkeypatch):
+    whole = pretokens.text.hashes
+    monkeypatch.setattr(pretokens.text, "hashes", lambda *x: (whole(*x)[0] % np.uint64(7), whole(*x)[1]))
+    table = pretokens.Encoded(lambda words: [list(w) for w in words])
+    for raw in (b"one two three four five six seven eight nine ten", b"ten nine eight seven eleven twelve one"):
+        ids, _ = table.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert bytes(ids.astype(np.uint8)) == raw
+
+
 def test_packing(docs, corpus):
     from tokenizers import Tokenizer
 
@@ -239,6 +250,44 @@ def test_neighbours_of_a_lone_centroid(spark):
     assert sorted(r["vec_id"] for r in got) == list(range(1, 11))
 
 
+def test_neighbours_of_the_table(spark):
+    """Vectors that are all about equally far apart: recall against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = neighbours.usable(table).toPandas().sort_values("vec_id")
+    ids, v = rows.vec_id.to_numpy(), np.stack(rows.v.to_numpy())
+    found: dict[int, set[int]] = {}
+    for r in neighbours.search(table, table.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    place = {x: i for i, x in enumerate(ids.tolist())}
+    hits = sum(len(near & {int(ids[i]) for _, i in _exact(v, place[q])}) for q, near in found.items())
+    assert len(found) == (ids % 20 == 0).sum() and hits >= 0.93 * 10 * len(found)
+
+
+@pytest.mark.parametrize(("spread", "most"), [(0.3, 0.1), (8.0, 0.75)])
+def test_pruning_follows_the_vectors(spread, most):
+    """Clustered vectors: few lists; without clusters: more of them; the number of lists differs from query to query, and boundary vectors have copies."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(100, 32))[rng.integers(0, 100, 4000)] + rng.normal(size=(4000, 32)) * spread
+    centroids = neighbours.merged(neighbours.balanced_centroids(v, neighbours.LEAF, neighbours.CENTROIDS))
+    index = neighbours.Index(centroids, *neighbours.build_graph(centroids, neighbours.LINKS))
+    assert len(centroids) > 800
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(list(v))], ["vec_id", "v"])
+    lists: dict[int, set[int]] = {}
+    for r in neighbours._post(types.SimpleNamespace(value=index), 32, 11)[0](iter([batch])):
+        for at, held in zip(r.column("list").to_pylist(), r.column("ids").to_pylist(), strict=True):
+            lists.setdefault(at, set()).update(np.frombuffer(held, np.int64).tolist())
+    sizes = np.array([len(lists.get(i, ())) for i in range(len(centroids))])
+    assert set().union(*lists.values()) == set(range(4000)) and sizes.sum() > 1.3 * 4000
+    scanned, many, hits = [], set(), 0
+    for q in range(0, 4000, 100):
+        chosen = neighbours.lists_of(index, v[q], sizes, neighbours.RATIO, 11)
+        seen = set().union(*(lists[i] for i in chosen.tolist() if i in lists))
+        scanned.append(len(seen) / 4000)
+        many.add(len(chosen))
+        hits += len(seen & {i for _, i in _exact(v, q)})
+    assert np.mean(scanned) <= most and len(many) > 5 and hits >= 0.9 * 10 * 40
+
+
 def test_chats(spark):
     rng = random.Random(12)
     talks: dict[int, list[tuple[str | None, str | None]]] = {}
