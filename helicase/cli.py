@@ -23,7 +23,7 @@ def _options(parser: argparse.ArgumentParser, values: dict[str, object]) -> None
             parser.add_argument(flag, type=type(default), default=default)
 
 
-_FAD = {f: getattr(FadParams(), f) for f in ("k", "neighbor_threshold", "min_count", "sketch_size", "use_sketch", "sketch_prefilter_threshold")}
+_FAD = {f: getattr(FadParams(), f) for f in ("k", "neighbor_threshold", "min_count", "sketch_size", "use_sketch", "sketch_prefilter_threshold", "verbose")}
 _RAD_OWN = (
     "k", "rough_radius", "min_cluster_size", "fine_split", "fine_split_max_depth", "fine_split_top_kmers", "fine_split_min_var", "fine_split_radius",
     "fine_split_min_features", "use_sketch", "sketch_size", "sketch_prefilter_threshold", "sketch_top_k", "sketch_fallback_exact", "sketch_radius",

@@ -73,6 +73,11 @@ def kmer_code(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
 
 
+def code_kmer(code: Column, k: int) -> Column:
+    """The k-mer of a number to base four."""
+    return F.concat(*[code_base(F.shiftright(code, 2 * (k - 1 - i))) for i in range(k)])
+
+
 def is_homopolymer(kmer: Column) -> Column:
     """Whether all bases are equal; false for the empty k-mer."""
     return kmer.rlike(r"^(.)\1*$")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import keep
+from .derep import numbered
 
 BLOCK = 1024
 LETTERS = 1 << 20
@@ -91,10 +92,11 @@ def near_blocks(blocks: DataFrame, apart: int) -> DataFrame:
 
 
 def against(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every block of `left` beside every block of `right`, whose columns get the prefix r_: an equi-join on the right blocks' numbers."""
-    numbers = [r[0] for r in right.select("block").distinct().collect()]  # numbers only, one for each BLOCK rows
-    spread = left.withColumn("r_block", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<bigint>")))
-    return spread.join(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), "r_block")
+    """Every block of `left` beside every block of `right`, whose columns get the prefix r_: an equi-join on numbers of the right blocks."""
+    right = keep(numbered(right, "block", name="place"))
+    many = right.count()
+    spread = left.withColumn("r_place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")) if many else F.array().cast("array<bigint>")))
+    return spread.join(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), "r_place")
 
 
 def each_pair(rows: DataFrame, schema: str, work: Callable[[dict], pa.RecordBatch | None]) -> DataFrame:

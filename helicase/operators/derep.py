@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SequenceTooShort
@@ -12,15 +12,16 @@ from ..plans.scratch import keep
 READS = "read_idx long, id string, seq string, qual binary, cnt long"
 
 
-def numbered(df: DataFrame, order: str, bits: int = 33) -> DataFrame:
-    """df with `read_idx` from 0 in the order of a unique column: ranks within ranges of the order plus the ranges' sizes."""
+def numbered(df: DataFrame, *order: str | Column, name: str = "read_idx") -> DataFrame:
+    """df with a number from 0, called `name`, in the order of columns that are unique together: places within ranges of the order plus the ranges' sizes."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
-    # ranges are sampled anew for each plan, so ranks and sizes must come from one table
-    within = keep(ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(order))))
-    sizes = within.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
-    return within.join(F.broadcast(before), "__part").withColumn("read_idx", (F.col("__base") + F.col("__rank") - 1).cast("long")).drop("__part", "__rank", "__base")
+    # ranges are sampled anew for each plan, so places and sizes must come from one table
+    placed = keep(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).alias("__part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))  # a row for each range
+    rows = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return rows.withColumn(name, F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__base", "__at")
 
 
 def checked(reads: DataFrame, k: int, mode: str = "strict") -> DataFrame:
@@ -33,15 +34,14 @@ def checked(reads: DataFrame, k: int, mode: str = "strict") -> DataFrame:
 
 
 def dereplicate(reads: DataFrame) -> DataFrame:
-    """(uid, seq, cnt, read_indices): distinct sequences; abundance counts at least 1 for each read.
+    """(uid, seq, cnt): distinct sequences; abundance counts at least 1 for each read.
 
-    uid is the rank by abundance (most first), length and sequence, so ties have one order. The rank is taken in two
-    steps, by abundance and length and within them, so that no task orders all sequences.
+    uid is the rank by abundance (most first), length and sequence, so ties have one order and no task orders all.
     """
-    found = reads.groupBy("seq").agg(F.sum(F.greatest("cnt", F.lit(1))).alias("cnt"), F.sort_array(F.collect_list("read_idx")).alias("read_indices"))
-    found = found.withColumns({"len": F.length("seq")})
-    levels = found.groupBy("cnt", "len").agg(F.count("*").alias("n"))
-    before = levels.select("cnt", "len", (F.sum("n").over(Window.orderBy(F.desc("cnt"), "len")) - F.col("n")).alias("base"))
-    within = F.row_number().over(Window.partitionBy("cnt", "len").orderBy("seq"))
-    ranked = found.withColumn("rank", within).join(before, ["cnt", "len"])
-    return ranked.select((F.col("base") + F.col("rank") - 1).cast("long").alias("uid"), "seq", "cnt", "read_indices")
+    found = reads.groupBy("seq").agg(F.sum(F.greatest("cnt", F.lit(1))).alias("cnt"))
+    return numbered(found, F.desc("cnt"), F.length("seq"), "seq", name="uid").select("uid", "seq", "cnt")
+
+
+def membership(reads: DataFrame, unique: DataFrame) -> DataFrame:
+    """(uid, read_idx): the distinct sequence of each read."""
+    return reads.select("read_idx", "seq").join(unique.select("uid", "seq"), "seq").select("uid", "read_idx")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +29,17 @@ def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{shared_folder(spark)}/helicase/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stage(df: DataFrame, plan: str, name: str, verbose: bool) -> Iterator[None]:
+    """Names the Spark jobs of a plan's step; verbose: logs its time."""
+    context = df.sparkSession.sparkContext
+    context.setJobDescription(f"{plan}: {name}")
+    began = time.monotonic()
+    try:
+        yield
+    finally:
+        context.setJobDescription(None)
+        if verbose:
+            logging.getLogger(f"helicase.{plan}").info("%s: %.2f s", name, time.monotonic() - began)

@@ -154,7 +154,10 @@ def _u(reads: DataFrame) -> DataFrame:
 
 
 def dereplicate(spark, sf):
-    return _u(reads_b(spark, sf)).select("uid", "seq", "cnt", F.array_join("read_indices", ",").alias("members"))
+    reads = keep(reads_b(spark, sf))
+    u = keep(_u(reads))
+    members = derep.membership(reads, u).groupBy("uid").agg(F.array_join(F.sort_array(F.collect_list("read_idx")), ",").alias("members"))
+    return u.join(members, "uid").select("uid", "seq", "cnt", "members")
 
 
 def kmer_norms(spark, sf):
@@ -270,13 +273,13 @@ def abundance_summaries(spark, sf):
 
 def variable_kmers(spark, sf):
     r = _clusters(spark, sf)
-    moment = kmers.moments(kmers.counts(r, "read_idx", K), r.select("read_idx", "cluster_id"), "read_idx", "cluster_id")
-    return kmers.variable(moment, "cluster_id", 0.001, 40).select("cluster_id", "kmer", F.round("score", 9).alias("score"))
+    moment = keep(kmers.moments(r, "cluster_id", K))
+    return kmers.variable(moment, "cluster_id", K, 0.001, 40).select("cluster_id", S.code_kmer(F.col("code"), K).alias("kmer"), F.round("score", 9).alias("score"))
 
 
 def cluster_centroids(spark, sf):
     r = _clusters(spark, sf)
-    return kmers.centroids(kmers.moments(kmers.counts(r, "read_idx", K), r.select("read_idx", "cluster_id"), "read_idx", "cluster_id"), "cluster_id").select("cluster_id", "kmer", F.round("mean", 9).alias("mean"))
+    return kmers.centroids(kmers.moments(r, "cluster_id", K), "cluster_id").select("cluster_id", S.code_kmer(F.col("code"), K).alias("kmer"), F.round("mean", 9).alias("mean"))
 
 
 def dp_first_pass(spark, sf):
@@ -405,7 +408,7 @@ _SIGS = f"""{_SLOTS}, sl AS MATERIALIZED (SELECT uid, h % 32 AS bin, min(h) AS l
 fl AS MATERIALIZED (SELECT w.uid, w.bin, coalesce(sl.low, -1) AS low FROM (SELECT uid, unnest(range(32)) AS bin FROM (SELECT DISTINCT uid FROM sl)) w LEFT JOIN sl ON sl.uid = w.uid AND sl.bin = w.bin),
 mt AS (SELECT a.uid AS ua, b.uid AS ub, count(*) AS m, count(*) FILTER (WHERE a.low >= 0) AS f FROM fl a JOIN fl b ON a.bin = b.bin AND a.low = b.low AND a.uid < b.uid GROUP BY ALL),
 sg AS (SELECT ua, ub, (32 - m) / 32 AS h FROM mt WHERE f > 0),
-bd AS (SELECT ua, ub, h, -ln(2 * greatest(1 - h, 2.2250738585072014e-308) / (1 + greatest(1 - h, 2.2250738585072014e-308))) / {K} AS d FROM sg)"""
+bd AS (SELECT ua, ub, h, 0.0 - ln(2 * greatest(1 - h, 2.2250738585072014e-308) / (1 + greatest(1 - h, 2.2250738585072014e-308))) / {K} AS d FROM sg)"""
 
 ORACLE_SQL: dict[str, str] = {
     "clean_validate": """WITH r AS (SELECT doc_id, translate(translate(text, 'XYZxyz', 'ACGtug'), 'acgtuU', 'ACGTTT') AS seq FROM documents)

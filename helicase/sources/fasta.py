@@ -6,10 +6,7 @@ with ">"; FASTQ records are four lines each, so their lines are numbered within
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParam
@@ -35,47 +32,32 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     header = F.trim(lines[0])
     seq = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rtrim(x)), "")
     rows = raw.select("at", S.header_id(header).alias("id"), seq.alias("seq"), S.header_size(header).alias("cnt")).where(F.length("seq") > 0)
-    return _as_reads(rows.withColumn("qual", F.lit(None).cast("binary")))
-
-
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Four-line records of whole files; a file ends at the first record whose header has no @."""
-    for batch in batches:
-        for part, content in zip(batch.column("part").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            lines = content.split(b"\n")
-            ids, seqs, quals = [], [], []
-            for i in range(0, len(lines), 4):
-                head = lines[i]
-                if not head.startswith(b"@"):
-                    break
-                seq, _, qual = (*lines[i + 1 : i + 4], b"", b"", b"")[:3]
-                ids.append(head[1:].strip().decode())
-                seqs.append(seq.rstrip().decode())
-                quals.append(qual.rstrip(b"\r"))
-            base = part << 40
-            yield pa.RecordBatch.from_arrays([pa.array(range(base, base + len(ids)), pa.int64()), pa.array(ids, pa.string()), pa.array(seqs, pa.string()), pa.array(quals, pa.binary())], ["at", "id", "seq", "qual"])
+    return _as_reads(rows.withColumn("qual", F.lit(None).cast("binary")), "at")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Reads with position, whole header as id, sequence, qualities as they stand, and count 1 whatever the header says.
 
-    A file is one task's work, as its records can't be told from their middle: quality lines may begin with @ too.
+    Records can't be told from their middle, as quality lines may begin with @ too, so lines are numbered: within each
+    block of a file as Spark splits it, plus the lines of the blocks before. A file ends at the first record whose header
+    has no @; reads follow the order of the files' names.
     """
-    import gzip
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content").withColumn("part", F.monotonically_increasing_id() % (1 << 20))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            content = [gzip.decompress(c) if p.endswith(".gz") else c for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
-            yield from _records(iter([pa.RecordBatch.from_arrays([batch.column("part"), pa.array(content, pa.binary())], ["part", "content"])]))
-
-    rows = files.select("path", "content", "part").mapInArrow(run, "at long, id string, seq string, qual binary")
-    return _as_reads(rows.withColumn("cnt", F.lit(1).cast("long")))
-
-
-def _as_reads(rows: DataFrame) -> DataFrame:
-    return numbered(rows, "at").select(*(c.split()[0] for c in READS.split(", ")))
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    sizes = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n") - F.col("first")  # a row for each block of a file
+    lines = raw.join(F.broadcast(sizes.select("file", "start", before.alias("shift"))), ["file", "start"]).withColumn("line", F.col("at") + F.col("shift"))
+    part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
+    records = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"))
+    good = F.col("head").startswith("@")
+    ends = records.where(~good).groupBy("file").agg(F.min("record").alias("end"))
+    bare = lambda c, blank: F.coalesce(F.regexp_replace(c, f"{blank}+$", ""), F.lit(""))
+    rows = records.join(ends, "file", "left").where(F.col("end").isNull() | (F.col("record") < F.col("end")))
+    rows = rows.select("file", "record", F.regexp_replace(F.substr("head", F.lit(2)), r"^\s+|\s+$", "").alias("id"), bare("seq", r"\s").alias("seq"), bare("qual", r"\r").cast("binary").alias("qual"), F.lit(1).cast("long").alias("cnt"))
+    return _as_reads(rows, "file", "record")
+
+
+def _as_reads(rows: DataFrame, *order: str) -> DataFrame:
+    return numbered(rows, *order).select(*(c.split()[0] for c in READS.split(", ")))
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
