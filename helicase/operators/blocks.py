@@ -114,3 +114,37 @@ def each_pair(rows: DataFrame, schema: str, work: Callable[[dict], pa.RecordBatc
 
 def kept_blocks(df: DataFrame, key: str, columns: dict[str, str], size: int = BLOCK, by_length: bool = True) -> DataFrame:
     return keep(pack(df, key, columns, size, by_length))
+
+
+def labelled(rows: DataFrame, group: str, work: Callable[[list[str]], np.ndarray], order: str = "read_idx") -> DataFrame:
+    """(group, part, order): `work` numbers the sequences of each group, which come in the order of the column `order`.
+
+    Groups follow each other in Arrow batches, so small ones cost no call of their own between Spark and Python.
+    """
+    kind = dict(rows.dtypes)[group]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+            seqs = table.column("seq").to_pylist()
+            parts = [work(seqs[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            names = [table.column(c).combine_chunks() for c in (group, order)]
+            return pa.RecordBatch.from_arrays([names[0], pa.array(np.concatenate(parts).astype(np.int64)), names[1]], [group, "part", order])
+
+        for batch in batches:
+            held.append(batch)
+            keys = batch.column(group)
+            if keys[0] == keys[-1] and len(held) > 1:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            number = table.column(group).combine_chunks().dictionary_encode().indices.to_numpy()
+            ends = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+            if len(ends) > 1:  # the last group may go on
+                yield solve(table.slice(0, ends[-1]), ends)
+            held = table.slice(ends[-1]).combine_chunks().to_batches(max_chunksize=1 << 30)
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield solve(table, np.array([0, table.num_rows]))
+
+    return rows.select(group, order, "seq").repartition(group).sortWithinPartitions(group, order).mapInArrow(run, f"{group} {kind}, part long, {order} long")

@@ -1,7 +1,7 @@
 """Queries over DNA derived from the given tables, one or more for each operator, and the same in DuckDB's SQL.
 
 reads_a: the letters A, C, G, T of each document that has 60 or more. reads_b: 20 templates of 256 bases with one edit or none for
-each order; reads_c: the same for each customer. Floats are rounded and arrays joined to text, so that both engines give the same values.
+each order. Floats are rounded and arrays joined to text, so that both engines give the same values.
 """
 
 from __future__ import annotations
@@ -52,10 +52,6 @@ def reads_b(spark: SparkSession, sf: str) -> DataFrame:
     return _noisy(_table(spark, sf, "orders"), "o_orderkey", "o_custkey")
 
 
-def reads_c(spark: SparkSession, sf: str) -> DataFrame:
-    return _noisy(_table(spark, sf, "customer"), "c_custkey", "c_custkey")
-
-
 _A = """d AS (SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS s FROM documents),
 ra AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS read_idx, concat('r', doc_id) AS id, s AS seq, 1 + doc_id % 3 AS cnt FROM d WHERE length(s) >= 60)"""
 
@@ -369,12 +365,12 @@ def selection_rounds(spark, sf):
 
 
 def rad_full(spark, sf):
-    r = reads_c(spark, sf).drop("true_template")
+    r = reads_b(spark, sf).drop("true_template")
     return rad_denoise(r, RadParams(consensus=ConsensusParams(align=AlignParams(band=16)))).templates
 
 
 def rad_exact(spark, sf):
-    r = reads_c(spark, sf).drop("true_template")
+    r = reads_b(spark, sf).drop("true_template")
     return rad_denoise(r, RadParams(cluster_mode=ClusterMode.EXACT, min_cluster_size=5)).templates
 
 
