@@ -36,7 +36,7 @@ from . import tables, text
 SAMPLE, CENTROIDS = 16_384, 4_096
 #: Queries that are packed at once; fewer when each searches all lists.
 BATCH = 16_384
-LEAF, COPIES, BOUNDARY, RATIO, LINKS = 4, 2, 1.1, 0.68, 24
+LEAF, COPIES, BOUNDARY, RATIO, LINKS = 4, 2, 1.1, 0.73, 24
 #: Lists whose distance is that of the nearest but for this factor are never pruned: to a vector far from all, all are like that.
 NEAR = 1.05
 #: Centroids that a search looks into beyond its limit before it ends.
@@ -269,16 +269,20 @@ def _scan(dim: int, k: int):
             for r in batch.to_pylist():
                 ids, v = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, dim)
                 asked, q = np.frombuffer(r["queries"], np.int64), np.frombuffer(r["wanted"]).reshape(-1, dim)
-                for query, point in zip(asked.tolist(), q, strict=True):
-                    d = np.sqrt(((v - point) ** 2).sum(1))
-                    other = ids != query
-                    old = best.get(query, (np.empty(0, np.int64), np.empty(0)))
-                    i, d = np.concatenate((old[0], ids[other])), np.concatenate((old[1], d[other]))
-                    order = np.lexsort((i, d))
-                    i, d = i[order], d[order]
-                    fresh = np.ones(len(i), bool)
-                    fresh[1:] = i[1:] != i[:-1]
-                    best[query] = (i[fresh][:k], d[fresh][:k])
+                step = max(1, (1 << 20) // max(1, v.size))
+                for at in range(0, len(asked), step):
+                    names = asked[at : at + step].tolist()
+                    far = np.sqrt(((v[None] - q[at : at + step, None]) ** 2).sum(2))
+                    worst = np.array([best[x][1][-1] if x in best and len(best[x][1]) == k else np.inf for x in names])
+                    for j in np.flatnonzero(far.min(1) <= worst).tolist():  # the others have k nearer ones
+                        query, other = names[j], ids != names[j]
+                        old = best.get(query, (np.empty(0, np.int64), np.empty(0)))
+                        i, d = np.concatenate((old[0], ids[other])), np.concatenate((old[1], far[j][other]))
+                        order = np.lexsort((i, d))
+                        i, d = i[order], d[order]
+                        # of a repeated id the nearest counts
+                        first = np.sort(np.unique(i, return_index=True)[1])
+                        best[query] = (i[first][:k], d[first][:k])
         if best:
             size = [len(i) for i, _ in best.values()]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), size)), pa.array(np.concatenate([i for i, _ in best.values()])), pa.array(np.concatenate([d for _, d in best.values()]))], ["query_id", "vec_id", "score"])
