@@ -79,8 +79,10 @@ def _counts(table: str, key: str, name: str = "km") -> str:
 
 
 _NORMS = "n AS MATERIALIZED (SELECT uid, CAST(sum(c * c) AS BIGINT) AS q, CAST(sum(c) AS BIGINT) AS t FROM km GROUP BY uid)"
-_DISTANCES = """ds AS (SELECT ua, ub, a.q + b.q - 2 * dot AS sq, a.t + b.t AS tt FROM (
-  SELECT a.uid AS ua, b.uid AS ub, CAST(sum(a.c * b.c) AS BIGINT) AS dot FROM km a JOIN km b ON a.kmer = b.kmer AND a.uid < b.uid GROUP BY ALL)
+# pairs that share no k-mer count too: their distance is the sum of both norms
+_DISTANCES = """dots AS MATERIALIZED (SELECT a.uid AS ua, b.uid AS ub, CAST(sum(a.c * b.c) AS BIGINT) AS dot FROM km a JOIN km b ON a.kmer = b.kmer AND a.uid < b.uid GROUP BY ALL),
+apart AS (SELECT a.uid AS ua, b.uid AS ub, CAST(0 AS BIGINT) AS dot FROM n a JOIN n b ON a.uid < b.uid AND a.q + b.q <= 150),
+ds AS (SELECT ua, ub, a.q + b.q - 2 * dot AS sq, a.t + b.t AS tt FROM (SELECT * FROM dots UNION ALL SELECT * FROM apart ANTI JOIN dots USING (ua, ub))
   JOIN n a ON a.uid = ua JOIN n b ON b.uid = ub)"""
 _ABASE = f"WITH RECURSIVE {_A}, {_uniques('ra')}, {_counts('u', 'uid')}, {_NORMS}, {_DISTANCES}"
 
