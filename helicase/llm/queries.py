@@ -91,6 +91,21 @@ WITH l AS (
 ), j AS (SELECT k.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
+    # bytes as two hex digits each; a string of 100 bytes is one of 200 digits that starts at an even place
+    "op9_suffix_dedup": """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents
+), s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(n_bytes - 99)) AS p FROM d WHERE n_bytes >= 100)
+), f AS (SELECT g, min(struct_pack(doc_id := doc_id, p := p)) AS first FROM s GROUP BY g HAVING count(*) > 1
+), r AS (SELECT doc_id, p FROM s JOIN f USING (g) WHERE struct_pack(doc_id := doc_id, p := p) <> first
+), m AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS fresh FROM r
+), k AS (SELECT doc_id, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM m
+), o AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM k GROUP BY doc_id, k
+), e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM o
+), x AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS stop, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)""",
     "op10_chat": f"""
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text,
