@@ -7,8 +7,8 @@ lists, unless a list already chosen lies closer to that centroid. A query search
 a neighbour graph held in memory: it takes the nearest lists until they hold enough vectors for k neighbours, and all
 lists whose distance is no more than RATIO of the way from that of these to the query's root mean square distance from
 all centroids (so the ratio means the same for clustered vectors and for those that are all about equally far apart). It
-prunes the rest and scans what is left with exact Euclidean distances in double precision. No number of lists is fixed. A query that still has fewer than k neighbours is compared with all
-vectors.
+prunes the rest and scans what is left with exact Euclidean distances in double precision. No number of lists is fixed.
+A query that still has fewer than k neighbours is compared with all vectors.
 
 Lists are tables of packed blocks joined to packed blocks of queries, so a list may be of any length and Spark may split
 it between tasks. The driver and the broadcast hold the centroids and their graph only, at most CENTROIDS of them.
@@ -317,13 +317,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
 
     def scan(copies: int, wanted: DataFrame, enough: int | None) -> DataFrame:
         lists, probed = rows.mapInArrow(*_post(shared, dim, most, copies)), wanted.mapInArrow(*_ask(shared, dim, sizes, ratio, enough))
-        return lists.join(probed, "list").select("ids", "vectors", "queries", "wanted").mapInArrow(*_scan(dim, k)).distinct()
+        return lists.join(probed, "list").select("ids", "vectors", "queries", "wanted").mapInArrow(*_scan(dim, k))
 
-    near = tables.keep(scan(COPIES, asked, most))
+    def nearest_rows(found: DataFrame) -> DataFrame:
+        """Copies of a vector and rows of one id may be found by several tasks."""
+        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    near = tables.keep(nearest_rows(scan(COPIES, asked, most)))
     if sizes.sum() > k:
         full = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
         short = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
         if not short.isEmpty():
-            near = near.union(scan(1, short, None)).distinct()
+            near = nearest_rows(near.union(scan(1, short, None).select(*near.columns)))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
