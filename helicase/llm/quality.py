@@ -198,9 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(np.frombuffer(model["joint"], np.float32), np.frombuffer(model["square"], np.float32), model["bias"], model["slope"], model["shift"])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with `score` and `predicted` added at the end; columns of these names are replaced."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, added: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with the columns `added`, score and prediction, at the end; columns of these names are replaced."""
+    taken = {c.lower() for c in added}
+    names = [c for c in docs.columns if c.lower() not in taken]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for batch, data, at in text.steps(batches):
             margin = np.array([m.joint[f].sum(dtype=np.float64) / _length(m.square, f) for f in _features(data, at)])
             p = 1 / (1 + np.exp(-np.clip(m.slope * (margin + m.bias) + m.shift, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
-    return docs.select(*names).mapInArrow(run, schema + ", score double, predicted int")
+    return docs.select(*names).mapInArrow(run, schema + f", `{added[0]}` double, `{added[1]}` int")
