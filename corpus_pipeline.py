@@ -15,7 +15,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier predicts as quality 0 go."""
     names = docs.columns
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("predicted = 1").select(*names)
+    added = tables.unused(docs, "score"), tables.unused(docs, "predicted")  # columns of these names stay as they are
+    return quality.score(docs, model, added=added).where(F.col(added[1]) == 1).select(*names)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
