@@ -211,12 +211,16 @@ def sketch_signatures(spark, sf):
     return sketch.signatures(_u(reads_a(spark, sf)), "uid", K, 128).select("uid", F.array_join("sig", ",").alias("sig"))
 
 
+def _slot_signatures(slots: DataFrame) -> DataFrame:
+    """(uid, sig) from slots; their number is fixed, so arrays are comparable; an empty slot has -1."""
+    every = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(-1)))
+    return slots.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("bin", "low"))).alias("m")).select("uid", every.alias("sig"))
+
+
 def _slot_pairs(u: DataFrame) -> DataFrame:
     """(ua, ub, x, y): the signatures of all pairs that share a filled slot."""
     slots = keep(sketch.slots(u, "uid", K, 32, hash_name="md5").select("uid", "bin", "low"))
-    # the number of slots is fixed, so arrays are comparable; an empty slot has -1
-    every = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(-1)))
-    sig = keep(slots.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("bin", "low"))).alias("m")).select("uid", every.alias("sig")))
+    sig = keep(_slot_signatures(slots))
     pairs = slots.withColumnRenamed("uid", "ua").join(slots.withColumnRenamed("uid", "ub"), ["bin", "low"]).where("ua < ub").select("ua", "ub").distinct()
     return pairs.join(sig.select(F.col("uid").alias("ua"), F.col("sig").alias("x")), "ua").join(sig.select(F.col("uid").alias("ub"), F.col("sig").alias("y")), "ub")
 
@@ -230,15 +234,8 @@ def sketch_distances(spark, sf):
 def sketch_candidates(spark, sf):
     """For each sequence of abundance 1 or 2, the best of the 5 more abundant ones nearest by signature, with the squared distance as the last word."""
     u = keep(_u(reads_a(spark, sf)).select("uid", "seq", "cnt"))
-    p = _slot_pairs(u).join(u.where("cnt >= 3").select(F.col("uid").alias("ua")), "ua", "left_semi").join(u.where("cnt < 3").select(F.col("uid").alias("ub")), "ub", "left_semi")
-    p = p.select(F.col("ub").alias("uid"), F.col("ua").alias("tid"), F.round(M.SketchDistance.BINDASH.column(F.col("x"), F.col("y"), K), 9).alias("d"))
-    p = keep(p.withColumn("r", F.row_number().over(Window.partitionBy("uid").orderBy("d", "tid"))).where("r <= 5").drop("r"))
-    counted = keep(kmers.counts(u, "uid", K))
-    norm = kmers.norms(counted, "uid").select("uid", "q")
-    pair = p.select("uid", "tid")
-    dot = pair.join(counted, "uid").join(counted.select(F.col("uid").alias("tid"), "kmer", F.col("c").alias("ct")), ["tid", "kmer"], "left").groupBy("uid", "tid").agg(F.sum(F.coalesce(F.col("c") * F.col("ct"), F.lit(0))).alias("dot"))
-    full = p.join(dot, ["uid", "tid"]).join(norm, "uid").join(norm.select(F.col("uid").alias("tid"), F.col("q").alias("qt")), "tid").withColumn("sq", F.col("q") + F.col("qt") - 2 * F.col("dot"))
-    return assign.best_candidate(full, "uid", 5, 0.3).select("uid", "tid", "sq")
+    signed = keep(u.join(_slot_signatures(sketch.slots(u, "uid", K, 32, hash_name="md5")), "uid"))
+    return assign.by_sketch(signed.where("cnt < 3"), "uid", signed.where("cnt >= 3").withColumnRenamed("uid", "tid"), K, 5, 0.3)
 
 
 def even_sample(spark, sf):
@@ -440,7 +437,8 @@ JOIN n a ON a.uid = ua JOIN n b ON b.uid = ub WHERE a.q + b.q - 2 * dot <= 12"""
     "fad_full": f"{_FAD_B}, {_ASSIGN} SELECT tid, tp.uid, tp.seq, tp.cnt, CAST(coalesce(sum(u.cnt), 0) AS BIGINT) AS assigned FROM tp LEFT JOIN asg USING (tid) LEFT JOIN u ON u.uid = asg.uid GROUP BY ALL",
     "sketch_slots": f"WITH {_SLOTS} SELECT uid, h % 64 AS bin, min(h) AS low FROM hh GROUP BY ALL",
     "sketch_distances": f"WITH {_SIGS} SELECT ua, ub, h, round(d, 9) AS d FROM bd",
-    "sketch_candidates": f"""WITH {_SIGS}, {_NORMS}, r AS (SELECT ub AS uid, ua AS tid, round(d, 9) AS d, row_number() OVER (PARTITION BY ub ORDER BY round(d, 9), ua) AS k FROM bd JOIN u x ON x.uid = ua JOIN u y ON y.uid = ub WHERE x.cnt >= 3 AND y.cnt < 3),
+    "sketch_candidates": f"""WITH {_SIGS}, {_NORMS}, p AS (SELECT y.uid, x.uid AS tid, greatest(coalesce(m, 0) / 32, 2.2250738585072014e-308) AS j FROM u x JOIN u y ON x.cnt >= 3 AND y.cnt < 3 LEFT JOIN mt ON ua = x.uid AND ub = y.uid),
+r AS (SELECT uid, tid, d, row_number() OVER (PARTITION BY uid ORDER BY d, tid) AS k FROM (SELECT uid, tid, round(0.0 - ln(2 * j / (1 + j)) / {K}, 9) AS d FROM p)),
 f AS (SELECT *, bool_or(d <= 0.3) OVER (PARTITION BY uid) AS close FROM r WHERE k <= 5),
 s AS (SELECT f.uid, f.tid, f.k, a.q + b.q - 2 * CAST(coalesce((SELECT sum(x.c * y.c) FROM km x JOIN km y ON x.kmer = y.kmer WHERE x.uid = f.uid AND y.uid = f.tid), 0) AS BIGINT) AS sq
   FROM f JOIN n a ON a.uid = f.uid JOIN n b ON b.uid = f.tid WHERE NOT close OR d <= 0.3)
