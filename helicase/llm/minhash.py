@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import tables, text
 
 PERMUTATIONS, ROWS, CLASSES = 64, 4, 32
+#: About as many shingles are counted at once, and sums of as many documents held at once.
+BUCKET, TARGET = 1 << 18, 4096
 
 
 def shingles(data: np.ndarray, at: np.ndarray, words: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -246,11 +248,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
     labelled = tables.keep(members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     open_members = tables.keep(labelled.join(mixed, "bucket", "left_semi").join(signed.select("doc_id", "n_shingles"), "doc_id"))
-    if not open_members.isEmpty():
+    many, volume = open_members.select("doc_id", "n_shingles").distinct().agg(F.count("*"), F.sum("n_shingles")).first()
+    if many:
         texts = tables.keep(docs.join(open_members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
-        # a multiple of the classes, so that a bucket's shingles are of one class
-        pack, packed = _pack_shingles(words, CLASSES * -(-4 * tables.shuffle_partitions(docs.sparkSession) // CLASSES))
-        count, counted = _count_shared(4 * tables.shuffle_partitions(docs.sparkSession))
+        # packets follow the data: by the number of partitions they would grow with its square; buckets are a
+        # multiple of the classes, so that a bucket's shingles are of one class
+        pack, packed = _pack_shingles(words, CLASSES * -(-volume // (CLASSES * BUCKET)))
+        count, counted = _count_shared(-(-many // TARGET))
         by_bucket = texts.mapInArrow(pack, packed).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, counted)
         common = by_bucket.repartition("target").sortWithinPartitions("target").mapInArrow(_sum_shared, "doc_id long, " + ", ".join(f"{c} long" for c in _SHARED))
         # the most shingles that a linked partner can have
