@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, line_dedup, minhash, neighbours, packing, quality, suffix_dedup, token_counts
+from . import bpe, chat, fingerprint, line_dedup, marked_words, minhash, neighbours, packing, quality, suffix_dedup, token_counts, whitening, word_tries
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,27 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_neighbours, op3_line_dedup, op4_quality, op5_fingerprint, op6_bpe, op7_packing, op8_token_counts, op9_suffix_dedup, op10_chat)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    each = white.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "c"), "identity_error")
+    return each.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = word_tries.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = marked_words.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), decode=True)
+    return coded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+_ALL = (
+    op1_minhash, op2_neighbours, op3_line_dedup, op4_quality, op5_fingerprint, op6_bpe, op7_packing, op8_token_counts, op9_suffix_dedup, op10_chat,
+    op11_whitening, op12_resampling, op13_sentencepiece,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -117,4 +137,22 @@ WITH t AS (
 SELECT m.conv_id, m.n AS n_turns, n_copies,
   string_agg('{chat.START}' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '{chat.STOP}' || chr(10), '' ORDER BY t.i) AS chat
 FROM m JOIN t USING (conv_id) GROUP BY ALL""",
+    # crc32 of each distinct word: a table of the 256 single bytes' remainders, then a fold over the word's bytes
+    "op12_resampling": f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), m AS (SELECT list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM benchmark
+), dw AS (SELECT doc_id, unnest(ws) AS w FROM d), mw AS (SELECT unnest(ws) AS w FROM m
+), k AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+), v AS MATERIALIZED (SELECT w, lower(hex(encode(w))) AS x FROM (SELECT w FROM dw UNION SELECT w FROM mw)
+), c AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: CAST(16 * (strpos('0123456789abcdef', substr(x, 2 * i + 1, 1)) - 1) + strpos('0123456789abcdef', substr(x, 2 * i + 2, 1)) - 1 AS BIGINT)),
+    lambda h, b: xor(h >> 8, t[CAST(xor(h & 255, b) AS INT) + 1]), 4294967295), 4294967295) % 10000 AS b FROM v, k
+), s AS (SELECT b, count(*) AS s FROM dw JOIN c USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM mw JOIN c USING (w) GROUP BY b
+), g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM dw) + 10000) / ((s + 1) * ((SELECT count(*) FROM mw) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b)
+), a AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM dw JOIN c USING (w) JOIN g USING (b) GROUP BY doc_id
+), e AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN a USING (doc_id)
+), r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS i, count(*) FILTER (WHERE n_features >= 20) OVER () * 10 // 100 AS drawn FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND i <= drawn THEN i END AS rank FROM r""",
 }
