@@ -11,7 +11,7 @@ several tasks, and its blocks are dealt among them.
 Edge cases: a null or empty text is one empty line; a text without repeated lines is returned as it is; an
 empty table gives an empty result; rows whose doc_id is null keep all their lines; rows with one doc_id count as
 documents of their own, and the largest holder of a line is each of its rows; columns besides doc_id and text, whatever
-their names, pass through, but for n_lines and n_dropped, which are replaced.
+their names, pass through, but for those of the added columns, in any case, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from . import tables, text
 
 MIN_CHARS, MIN_DOCS = 40, 5
+ADDED = ("n_lines", "n_dropped")
 #: Distinct lines of a shard, at most about so many; its arrays then take some 2 MB.
 SHARD_KEYS = 250_000
 _GAMMA = 2
@@ -238,8 +239,8 @@ def _probe(min_docs: int):
     return run, "doc_id long, text_hash long, numbers array<int>"
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> DataFrame:
-    """docs with the repeated lines taken out of `text`, and n_lines and n_dropped added at the end.
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None, added: tuple[str, str] = ADDED) -> DataFrame:
+    """docs with the repeated lines taken out of `text`, and the columns `added`, n_lines and n_dropped, at the end; columns of these names, in any case, are replaced.
 
     A line whose key has min_chars code points or more and is in min_docs documents or more stays only in the
     largest doc_id that holds it.
@@ -263,20 +264,14 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     probed = dealt.mapInArrow(*_probe(min_docs))
     gone, doc, own = (tables.unused(docs, c) for c in ("gone", "gone_doc", "gone_text"))
     found = tables.keep(probed.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(own)).agg(F.flatten(F.collect_list("numbers")).alias(gone)))
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
     # the dropped lines' table grows with the documents, so it is never broadcast
     joined = docs.join(found.hint("merge"), (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(own)), "left").select(*(docs[c] for c in names), gone)
-    return joined.mapInArrow(_rebuild(names, gone), _rebuilt_schema(docs))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
+    return joined.mapInArrow(_rebuild(names, gone, added), f"{kept}, `{added[0]}` long, `{added[1]}` long")
 
 
-def _rebuilt_schema(docs: DataFrame) -> str:
-    kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_lines long, n_dropped long"
-
-
-def _rebuild(names: list[str], gone: str):
-    names = [c for c in names if c not in ("n_lines", "n_dropped")]
-
+def _rebuild(names: list[str], gone: str, added: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in text.steps(batches):
             start, stop, count = split_lines(data, at)
@@ -300,6 +295,6 @@ def _rebuild(names: list[str], gone: str):
             size = np.bincount(keep_rows, weights=length, minlength=len(count)).astype(np.int64)
             new = text.text_rows(body, np.concatenate(([0], np.cumsum(size))))
             columns = [new if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(dropped)], [*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(dropped)], [*names, *added])
 
     return run

@@ -12,7 +12,7 @@ Earlier means a smaller doc_id, or an earlier start in the same document. Steps:
 3. The first windows are dealt by their key. Each task sorts the suffixes that start in its windows by two-stage sorting
    (only those smaller than their successors are sorted directly, the rest are induced by a scan over buckets of first
    bytes) and computes common prefixes of neighbours; starts whose neighbours agree on `size` bytes are equal strings,
-   and all but the first of each are repeats. The windows of a key that has more than GROUP different ones are cut into
+   and all but the first of each are repeats. The windows of a key whose different ones hold more than GROUP starts are cut into
    their single starts, which are dealt to several groups by a second key, taken from all their bytes, and sorted there.
 4. Repeats become spans, spans are gathered by document (its own only) and cut out of its bytes.
 
@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 from . import tables, text
 
 SIZE, GRAM = 100, 36
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Bits of the table that tells which keys may repeat: 16 MB, whatever the corpus. With more repeated keys than that it tells less, and more windows go on to the exact steps.
 TABLE_BITS = 27
-#: Different windows of a group that is sorted together.
-GROUP = 4_000
+#: Starts in the different windows of a group that is sorted together.
+GROUP = 1 << 16
 #: Bytes after which a segment ends, and so the windows that one row of the wanted ones can hold.
 SEGMENT = 1 << 16
 _MOST_STARTS = 2048
@@ -384,7 +385,7 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFra
     copied = firsts.where("copies > 1").select(*bytes_of, F.col("doc_id").alias("d"), F.col("part").alias("p"), F.col("lo").alias("l"))
     again = thin.join(copied, bytes_of).where("doc_id <> d or part <> p or lo <> l")
     spans = again.select("doc_id", "part", "lo", (F.col("lo") + F.col("n") - 1 + size).alias("hi"))
-    kinds = firsts.groupBy("key").agg(F.count("*").alias("kinds"), F.max("inside").alias("any")).where("kinds > 1 or any").select("key", F.ceil(F.col("kinds") / GROUP).alias("groups"))
+    kinds = firsts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("starts"), F.max("inside").alias("any")).where("kinds > 1 or any").select("key", F.ceil(F.col("starts") / GROUP).alias("groups"))
     wanted = firsts.join(kinds, "key").groupBy("doc_id", "part", "seg").agg(F.collect_list(F.struct("key", "n", "lo", "inside", "groups")).alias("wanted"))
     segments = found.where("key is null").select("doc_id", "part", "seg", "body").dropDuplicates(["doc_id", "part", "seg"])
     texts = tables.keep(segments.join(wanted, ["doc_id", "part", "seg"]).mapInArrow(*_bodies(size)))
@@ -394,7 +395,7 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFra
     return spans.union(windowed.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_windows(size), "doc_id long, part long, lo long, hi long"))
 
 
-def _cut(names: list[str], found: str, as_text: bool):
+def _cut(names: list[str], found: str, as_text: bool, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in text.steps(batches):
             delta = np.zeros(len(data) + 1, np.int64)
@@ -419,20 +420,21 @@ def _cut(names: list[str], found: str, as_text: bool):
             columns = [kept if as_text and c == "text" else batch.column(c) for c in names if c != "text" or as_text]
             extra = [pa.array(np.diff(at)), pa.array(removed), pa.array(n_spans)] + ([] if as_text else [kept])
             labels = [c for c in names if c != "text" or as_text]
-            yield pa.RecordBatch.from_arrays([*columns, *extra], [*labels, "n_bytes", "n_removed", "n_spans", "kept"][: len(labels) + len(extra)])
+            yield pa.RecordBatch.from_arrays([*columns, *extra], [*labels, *added])
 
     return run
 
 
-def drop_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, as_text: bool = False) -> DataFrame:
-    """docs without `text`, with n_bytes, n_removed, n_spans and kept (the bytes that stay) at the end.
+def drop_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, as_text: bool = False, added: tuple[str, str, str, str] = ADDED) -> DataFrame:
+    """docs without `text`, with the columns `added`, n_bytes, n_removed, n_spans and kept (the bytes that stay), at the end; columns of these names, in any case, are replaced.
 
-    as_text: with `text` cut instead of `kept`; a character of which only some bytes stay is left out.
+    as_text: with `text` cut instead of `kept`, which isn't added then; a character of which only some bytes stay is left out.
     """
+    new = list(added[:3] if as_text else added)
     spans, found, doc, part = repeat_spans(docs, size, gram), *(tables.unused(docs, c) for c in ("spans", "spans_doc", "spans_text"))
     by_doc = tables.keep(spans.groupBy(F.col("doc_id").alias(doc), F.col("part").alias(part)).agg(F.collect_list(F.struct("lo", "hi")).alias(found)))
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    names = [c for c in docs.columns if c.lower() not in {a.lower() for a in new}]
     joined = docs.join(by_doc, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(part)), "left").select(*(docs[c] for c in names), found)
     fields = [f for f in docs.schema.fields if f.name in names and (as_text or f.name != "text")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, n_removed long, n_spans long" + ", kept binary" * (not as_text)
-    return joined.mapInArrow(_cut(names, found, as_text), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + "".join(f", `{c}` {t}" for c, t in zip(new, ("long", "long", "long", "binary"), strict=False))
+    return joined.mapInArrow(_cut(names, found, as_text, new), schema)
