@@ -22,7 +22,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines of many documents stay in one of them; n_chars follows the text."""
     names = docs.columns
-    return line_dedup.drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    added = tuple(tables.unused(docs, c) for c in line_dedup.ADDED)
+    return line_dedup.drop_lines(docs, added=added).withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 
 def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,8 @@ def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that also start earlier are cut out; n_chars follows the text."""
     names = docs.columns
-    return suffix_dedup.drop_repeats(docs, as_text=True).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    added = tuple(tables.unused(docs, c) for c in suffix_dedup.ADDED)
+    return suffix_dedup.drop_repeats(docs, as_text=True, added=added).withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
