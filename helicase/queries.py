@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics as M
@@ -312,21 +312,22 @@ def lsh_chunks(spark, sf):
 
 def medoids(spark, sf):
     r = _clusters(spark, sf)
-    sampled = consensus.sample(r.select("cluster_id", "read_idx", "seq"), "cluster_id", "read_idx", 20)
-    return consensus.medoids(sampled, ConsensusParams(max_centroid_candidates=20, max_centroid_comparisons=20))
+    params = ConsensusParams()
+    sampled = consensus.sample(r.select("cluster_id", "read_idx", "seq"), "cluster_id", "read_idx", params.max_consensus_reads)
+    return consensus.medoids(keep(sampled), params)
 
 
 def gapless_align(spark, sf):
-    r = reads_a(spark, sf).withColumn("block", F.floor(F.col("read_idx") / 64))
-    w = Window.partitionBy("block").orderBy("read_idx")
-    pairs = r.select("read_idx", F.col("seq").alias("ref"), F.lead("seq").over(w).alias("qry")).where("qry is not null")
+    """Every read beside the next one; numbers have no gaps, so the next is found by a join."""
+    r = keep(reads_a(spark, sf).select("read_idx", "seq"))
+    pairs = r.withColumnRenamed("seq", "ref").join(r.select((F.col("read_idx") - 1).alias("read_idx"), F.col("seq").alias("qry")), "read_idx")
     return align.align(pairs, AlignParams(), "gapless").select("read_idx", "ref_aln", "qry_aln", "score")
 
 
 def pileup_call(spark, sf):
     r = _clusters(spark, sf)
     draft = r.groupBy("cluster_id").agg(F.min_by("seq", "read_idx").alias("ref"))
-    piled = consensus.gapless_pileup(r.select("cluster_id", F.col("seq").alias("qry")).join(F.broadcast(draft), "cluster_id"))  # 20 drafts
+    piled = consensus.pileup(r.select("cluster_id", F.col("seq").alias("qry")).join(F.broadcast(draft), "cluster_id"), AlignParams(), "gapless")  # 20 drafts
     return consensus.call(piled, r.groupBy("cluster_id").agg(F.count("*").alias("n_reads")), 0.5)
 
 
@@ -352,8 +353,44 @@ def substitutions(spark, sf):
     return s.select("uid", F.col("sub.len0").alias("len0"), F.array_join("sub.pos", ",").alias("pos"), F.array_join("sub.nt1", "").alias("nt1"))
 
 
+def _short_pairs(spark, sf):
+    """For each part a sequence of 12 to 27 bases, by its name, and the same with one to three edits, with qualities by its key."""
+    t = _table(spark, sf, "part").select(F.col("p_partkey").alias("pid"), F.md5(F.col("p_name").cast("binary")).alias("h"), F.md5(F.concat(F.lit("q"), "p_partkey").cast("binary")).alias("g"))
+    digit = lambda c, i: F.conv(F.substring(c, i, 2), 16, 10).cast("int")
+    ref = F.substr(F.translate("h", "0123456789abcdef", "AACCGGTTACGTAAAT"), F.lit(1), 12 + digit("h", 1) % 16)
+    t = t.select("pid", "g", ref.alias("ref")).withColumn("at", (digit("g", 1) % F.length("ref") + 1).cast("int"))
+    base = F.substr(F.lit("ACGT"), digit("g", 3) % 4 + 1, F.lit(1))
+    more = F.substr(F.translate("g", "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(9), digit("g", 5) % 4)
+    head, tail = F.substr("ref", F.lit(1), F.col("at") - 1), F.substr("ref", F.col("at") + digit("g", 7) % 3)
+    t = t.select("pid", "ref", F.concat(head, base, F.when(digit("g", 13) % 2 == 0, more).otherwise(""), tail).alias("qry"))
+    quality = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: ((F.col("pid") + i * k) % 41).cast("int"))
+    return t.select("pid", "ref", "qry", quality("ref", 7).alias("ref_qual"), quality("qry", 11).alias("qry_qual"))
+
+
+def short_alignments(spark, sf):
+    """Every part's pair by each method, within a band of 6."""
+    p = keep(_short_pairs(spark, sf))
+    rows = [align.align(p, AlignParams(band=6, homo_gap_score=-1), m).select("pid", F.lit(m).alias("method"), "ref_aln", "qry_aln", "score") for m in align.METHODS]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+def short_substitutions(spark, sf):
+    """Substitutions of every part's pair with the qualities at them, after the screen that picks the method."""
+    s = align.substitution_records(align.screened(_short_pairs(spark, sf), AlignParams(band=6), 3, cutoff=0.3))
+    joined = lambda c: F.array_join(F.col(f"sub.{c}"), ",").alias(c)
+    return s.select("pid", "ref_aln", F.col("sub.len0").alias("len0"), *(joined(c) for c in ("map", "pos", "nt0", "nt1", "q0", "q1")))
+
+
+def short_consensus(spark, sf):
+    """The consensus of the parts of each length, from ends-free alignments to the first part's sequence."""
+    p = keep(_short_pairs(spark, sf).withColumn("cluster_id", F.length("ref").cast("long")))
+    draft = p.groupBy("cluster_id").agg(F.min_by("ref", "pid").alias("ref"))
+    piled = consensus.pileup(p.select("cluster_id", "qry").join(F.broadcast(draft), "cluster_id"), AlignParams(band=6))  # 16 drafts
+    return consensus.call(piled, p.groupBy("cluster_id").agg(F.count("*").alias("n_reads")), 0.3)
+
+
 def consensus_full(spark, sf):
-    return consensus.consensus(_clusters(spark, sf), ConsensusParams(max_consensus_reads=48))
+    return consensus.consensus(_clusters(spark, sf), ConsensusParams())
 
 
 def selection_rounds(spark, sf):
@@ -382,7 +419,7 @@ _NAMES = (
     kmer_norms, corrected_distance_full, corrected_distance_normalized, neighbour_pairs, fad_templates, fad_templates_wide, fad_assign, fad_full, fad_sketched,
     sketch_slots, sketch_signatures, sketch_distances, sketch_candidates, even_sample, supported_clusters, cluster_summaries, abundance_summaries, variable_kmers,
     cluster_centroids, dp_first_pass, dp_means_grouped, dp_means_distributed, fine_split, lsh_bins, lsh_chunks, medoids, gapless_align, pileup_call, nw_align,
-    nw_methods, substitutions, consensus_full, selection_rounds, rad_full, rad_exact, fad_fasta,
+    nw_methods, substitutions, short_alignments, short_substitutions, short_consensus, consensus_full, selection_rounds, rad_full, rad_exact, fad_fasta,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
 
@@ -405,7 +442,58 @@ mt AS (SELECT a.uid AS ua, b.uid AS ub, count(*) AS m, count(*) FILTER (WHERE a.
 sg AS (SELECT ua, ub, (32 - m) / 32 AS h FROM mt WHERE f > 0),
 bd AS (SELECT ua, ub, h, 0.0 - ln(2 * greatest(1 - h, 2.2250738585072014e-308) / (1 + greatest(1 - h, 2.2250738585072014e-308))) / {K} AS d FROM sg)"""
 
+_PARTS = """pt AS (SELECT p_partkey AS pid, md5(p_name) AS h, md5(concat('q', p_partkey)) AS g FROM part),
+pr0 AS (SELECT pid, g, substr(translate(h, '0123456789abcdef', 'AACCGGTTACGTAAAT'), 1, CAST(12 + ('0x' || substr(h, 1, 2))::BIGINT % 16 AS INT)) AS ref FROM pt),
+pr1 AS (SELECT *, CAST(('0x' || substr(g, 1, 2))::BIGINT % length(ref) + 1 AS INT) AS place FROM pr0),
+sp AS MATERIALIZED (SELECT pid, ref, concat(substr(ref, 1, place - 1), substr('ACGT', CAST(('0x' || substr(g, 3, 2))::BIGINT % 4 + 1 AS INT), 1),
+  CASE WHEN ('0x' || substr(g, 13, 2))::BIGINT % 2 = 0 THEN substr(translate(g, '0123456789abcdef', 'ACGTACGTACGTACGT'), 9, CAST(('0x' || substr(g, 5, 2))::BIGINT % 4 AS INT)) ELSE '' END,
+  substr(ref, CAST(place + ('0x' || substr(g, 7, 2))::BIGINT % 3 AS INT))) AS qry FROM pr1)"""
+
+
+def _wavefront(pairs: str, methods: dict[str, tuple[bool, int | None]], band: int, name: str) -> str:
+    """Alignments of (pid, ref, qry), cell by cell: a row for each anti-diagonal, whose values are four times the score plus the direction; then the way back."""
+    run = lambda s: f"list_transform(range(1, length({s}) + 1), lambda i: list_bool_or(list_transform(range(0, 3), lambda o: i > o AND substr({s}, i - o, 3) = repeat(substr({s}, i, 1), 3))))"
+    kinds = ", ".join(f"('{m}', {free}, {homo if homo is not None else -3})" for m, (free, homo) in methods.items())
+    return f"""{name}k AS MATERIALIZED (SELECT *, length(ref) AS n, length(qry) AS m, {band} + greatest(length(ref) - length(qry), 0) AS down, {band} + greatest(length(qry) - length(ref), 0) AS rightward,
+  list_transform({run('ref')}, lambda r: CASE WHEN r THEN homo ELSE -3 END) AS ga, list_transform({run('qry')}, lambda r: CASE WHEN r THEN homo ELSE -3 END) AS gb FROM {pairs}, (VALUES {kinds}) v(method, free, homo)),
+{name}w AS (SELECT pid, method, ref, qry, n, m, down, rightward, free, ga, gb, 0 AS t, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE -400000 END) AS one, list_transform(range(0, n + 1), lambda i: -400000) AS two FROM {name}k
+UNION ALL SELECT pid, method, ref, qry, n, m, down, rightward, free, ga, gb, t + 1, list_transform(range(0, n + 1), lambda i:
+  CASE WHEN t + 1 - i < 0 OR t + 1 - i > m OR 2 * i - t - 1 > down OR t + 1 - 2 * i > rightward THEN -400000
+    WHEN t + 1 = i THEN CASE WHEN free THEN 0 ELSE -12 * i END + 3 WHEN i = 0 THEN CASE WHEN free THEN 0 ELSE -12 * (t + 1) END + 2
+    ELSE greatest(one[i] - (one[i] & 3) + CASE WHEN free AND t + 1 - i = m THEN 0 ELSE 4 * ga[i] END + 3, one[i + 1] - (one[i + 1] & 3) + CASE WHEN free AND i = n THEN 0 ELSE 4 * gb[t + 1 - i] END + 2,
+      two[i] - (two[i] & 3) + CASE WHEN substr(ref, i, 1) = substr(qry, t + 1 - i, 1) THEN 8 ELSE -8 END + 1) END), one FROM {name}w WHERE t < n + m),
+{name}v AS MATERIALIZED (SELECT pid, method, t, n, m, one FROM {name}w),
+{name}b AS (SELECT pid, method, ref, qry, n AS i, m AS j, '' AS x, '' AS y FROM {name}k
+UNION ALL SELECT pid, method, ref, qry, i - CASE WHEN p = 2 THEN 0 ELSE 1 END, j - CASE WHEN p = 3 THEN 0 ELSE 1 END,
+  concat(CASE WHEN p = 2 THEN '-' ELSE substr(ref, i, 1) END, x), concat(CASE WHEN p = 3 THEN '-' ELSE substr(qry, j, 1) END, y)
+  FROM (SELECT b.*, v.one[b.i + 1] & 3 AS p FROM {name}b b JOIN {name}v v ON v.pid = b.pid AND v.method = b.method AND v.t = b.i + b.j WHERE b.i + b.j > 0)),
+{name} AS MATERIALIZED (SELECT b.pid, b.method, x AS ref_aln, y AS qry_aln, CAST(v.one[v.n + 1] >> 2 AS BIGINT) AS score FROM {name}b b JOIN {name}v v ON v.pid = b.pid AND v.method = b.method AND v.t = v.n + v.m WHERE i + j = 0)"""
+
+
+_FLAT = """SELECT pid, 'gapless' AS method, rpad(ref, CAST(greatest(length(ref), length(qry)) AS INT), '-') AS ref_aln, rpad(qry, CAST(greatest(length(ref), length(qry)) AS INT), '-') AS qry_aln,
+CAST(list_sum(list_transform(range(1, least(length(ref), length(qry)) + 1), lambda i: CASE WHEN substr(ref, i, 1) = substr(qry, i, 1) THEN 2 ELSE -2 END)) AS BIGINT) AS score FROM sp"""
+_CELLS = """c AS (SELECT *, unnest(range(1, length(ref_aln) + 1)) AS i FROM a), d AS (SELECT *, substr(ref_aln, i, 1) AS x, substr(qry_aln, i, 1) AS y FROM c),
+e AS (SELECT *, CAST(sum(CAST(x <> '-' AS INT)) OVER w AS BIGINT) AS n0, CAST(sum(CAST(y <> '-' AS INT)) OVER w AS BIGINT) AS n1 FROM d WINDOW w AS (PARTITION BY pid ORDER BY i))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "short_alignments": f"""WITH RECURSIVE {_PARTS}, {_wavefront('sp', {'ends_free': (True, None), 'homopolymer': (True, -1), 'standard': (False, None)}, 6, 'nw')}
+SELECT * FROM nw UNION ALL {_FLAT}""",
+    "short_substitutions": f"""WITH RECURSIVE {_PARTS}, km AS (SELECT *, length(ref) - 2 AS n0, greatest(length(qry) - 2, 0) AS m0, list_transform(range(1, length(ref) - 1), lambda i: substr(ref, i, 3)) AS ka, list_transform(range(1, length(qry) - 1), lambda i: substr(qry, i, 3)) AS kb FROM sp),
+sc AS MATERIALIZED (SELECT *, list_sum(list_transform(list_distinct(list_concat(ka, kb)), lambda z: pow(length(list_filter(ka, lambda u: u = z)) - length(list_filter(kb, lambda u: u = z)), 2))) / (3 * (n0 + m0)) AS d,
+  coalesce(list_sum(list_transform(range(1, least(n0, m0) + 1), lambda i: CASE WHEN ka[i] <> kb[i] THEN 1 ELSE 0 END)) / least(n0, m0), 1) AS o FROM km),
+gp AS MATERIALIZED (SELECT pid, ref, qry FROM sc WHERE d <= 0.3 AND abs(o - d) >= 2.220446049250313e-16), {_wavefront('gp', {'ends_free': (True, None)}, 6, 'nw')},
+a AS MATERIALIZED (SELECT pid, ref_aln, qry_aln FROM nw UNION ALL SELECT pid, ref_aln, qry_aln FROM ({_FLAT}) f SEMI JOIN (SELECT pid FROM sc WHERE d <= 0.3 AND abs(o - d) < 2.220446049250313e-16) z USING (pid)), {_CELLS},
+g AS (SELECT pid, max(ref_aln) AS ref_aln, max(n0) AS len0, string_agg(CASE WHEN y = '-' THEN 9999 ELSE n1 - 1 END, ',' ORDER BY i) FILTER (WHERE x <> '-') AS map,
+  {', '.join(f"coalesce(string_agg({v}, ',' ORDER BY i) FILTER (WHERE x <> '-' AND y <> '-' AND x <> y), '') AS {c}" for c, v in (('pos', 'n0 - 1'), ('nt0', 'x'), ('nt1', 'y'), ('q0', '(pid + n0 * 7) % 41'), ('q1', '(pid + n1 * 11) % 41')))} FROM e GROUP BY pid)
+SELECT sp.pid, ref_aln, CAST(len0 AS INT) AS len0, map, pos, nt0, nt1, q0, q1 FROM sp LEFT JOIN g USING (pid)""",
+    "short_consensus": f"""WITH RECURSIVE {_PARTS}, dr AS (SELECT length(ref) AS cluster_id, arg_min(ref, pid) AS draft, count(*) AS reads FROM sp GROUP BY 1),
+cp AS MATERIALIZED (SELECT pid, draft AS ref, qry FROM sp JOIN dr ON cluster_id = length(sp.ref)), {_wavefront('cp', {'ends_free': (True, None)}, 6, 'nw')},
+a AS (SELECT nw.pid, CAST(length(sp.ref) AS BIGINT) AS cluster_id, ref_aln, qry_aln FROM nw JOIN sp USING (pid)), {_CELLS},
+f AS (SELECT *, CASE WHEN x = '-' THEN i - coalesce(max(CASE WHEN x <> '-' THEN i END) OVER (PARTITION BY pid ORDER BY i), 0) - 1 ELSE 0 END AS col FROM e),
+k AS (SELECT cluster_id, CASE WHEN x = '-' THEN n0 ELSE n0 - 1 END AS pos, x <> '-' AS late, col, y, count(*) AS c FROM f GROUP BY ALL),
+m AS (SELECT cluster_id, pos, late, col, coalesce(max(c) FILTER (WHERE y <> '-'), 0) AS top, coalesce(arg_min(y, (-c, y)) FILTER (WHERE y <> '-'), 'A') AS base, coalesce(sum(c) FILTER (WHERE y = '-'), 0) AS gone FROM k GROUP BY ALL),
+r AS (SELECT m.cluster_id, string_agg(base, '' ORDER BY pos, late, col) AS seq FROM m JOIN dr USING (cluster_id) WHERE top >= CASE WHEN late THEN greatest(gone, ceil(reads * 0.3) - 1) ELSE ceil(reads * 0.3) END GROUP BY 1)
+SELECT CAST(dr.cluster_id AS BIGINT) AS cluster_id, coalesce(seq, '') AS seq FROM dr LEFT JOIN r USING (cluster_id)""",
     "clean_validate": """WITH r AS (SELECT doc_id, translate(translate(text, 'XYZxyz', 'ACGtug'), 'acgtuU', 'ACGTTT') AS seq FROM documents)
 SELECT doc_id, seq, CASE WHEN g < length(seq) THEN g END AS bad_pos FROM (SELECT *, CAST(length(regexp_extract(seq, '^[ACGT]*')) AS BIGINT) AS g FROM r)""",
     "sequence_functions": f"""WITH {_A} SELECT read_idx, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc, translate(seq, 'ACGT', '0123') AS codes, seq AS back,
@@ -463,12 +551,15 @@ SELECT read_idx, (q + qz - 2 * dot) / ({K} * (t + tz)) > 0.01 AS opens FROM x CR
 s AS (SELECT *, CASE WHEN n > 40 THEN second END AS sec FROM n), c AS (SELECT *, (row_number() OVER (PARTITION BY key, sec ORDER BY read_idx) - 1) // 40 AS chunk FROM s)
 SELECT min(read_idx) OVER (PARTITION BY key, sec, chunk) AS bin, read_idx FROM c""",
     "medoids": f"""WITH {_B}, k AS (SELECT true_template AS cluster_id, read_idx, seq, row_number() OVER (PARTITION BY true_template ORDER BY read_idx) - 1 AS i, count(*) OVER (PARTITION BY true_template) AS n FROM rb),
-g AS (SELECT cluster_id, read_idx AS uid, seq, i FROM k WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda j: j * (n - 1) // 19), i)), {_counts('g', 'uid')}, {_NORMS},
-pr AS (SELECT a.cluster_id, a.uid AS ua, b.uid AS ub FROM g a JOIN g b USING (cluster_id)),
-dd AS (SELECT ua, ub, CAST(sum(x.c * y.c) AS BIGINT) AS dot FROM pr JOIN km x ON x.uid = ua JOIN km y ON y.uid = ub AND y.kmer = x.kmer GROUP BY ALL),
-sm AS (SELECT cluster_id, ua, sum(a.q + b.q - 2 * coalesce(dot, 0)) AS total FROM pr LEFT JOIN dd USING (ua, ub) JOIN n a ON a.uid = ua JOIN n b ON b.uid = ub GROUP BY ALL)
+g AS (SELECT cluster_id, read_idx AS uid, seq FROM k WHERE n <= 512 OR list_contains(list_transform(range(0, 512), lambda j: j * (n - 1) // 511), i)), {_counts('g', 'uid')}, {_NORMS},
+h AS (SELECT cluster_id, uid, row_number() OVER (PARTITION BY cluster_id ORDER BY uid) - 1 AS i, count(*) OVER (PARTITION BY cluster_id) AS n FROM g),
+ca AS (SELECT * FROM h WHERE n <= 64 OR list_contains(list_transform(range(0, 64), lambda j: j * (n - 1) // 63), i)),
+co AS (SELECT * FROM h WHERE n <= 256 OR list_contains(list_transform(range(0, 256), lambda j: j * (n - 1) // 255), i)),
+sk AS (SELECT cluster_id, kmer, sum(c) AS s FROM co JOIN km USING (uid) GROUP BY ALL), sq AS (SELECT cluster_id, count(*) AS many, sum(q) AS q FROM co JOIN n USING (uid) GROUP BY ALL),
+dt AS (SELECT cluster_id, uid, sum(c * coalesce(s, 0)) AS dot FROM ca JOIN km USING (uid) LEFT JOIN sk USING (cluster_id, kmer) GROUP BY ALL),
+sm AS (SELECT cluster_id, uid AS ua, many * n.q + sq.q - 2 * dot AS total FROM dt JOIN n USING (uid) JOIN sq USING (cluster_id)),
 SELECT cluster_id, seq FROM (SELECT cluster_id, ua, row_number() OVER (PARTITION BY cluster_id ORDER BY total, ua) AS z FROM sm) s JOIN g USING (cluster_id) WHERE z = 1 AND g.uid = ua""",
-    "gapless_align": f"""WITH {_A}, q AS (SELECT read_idx, seq AS ref, lead(seq) OVER (PARTITION BY read_idx // 64 ORDER BY read_idx) AS qry FROM ra),
+    "gapless_align": f"""WITH {_A}, q AS (SELECT read_idx, seq AS ref, lead(seq) OVER (ORDER BY read_idx) AS qry FROM ra),
 w AS (SELECT read_idx, rpad(ref, CAST(greatest(length(ref), length(qry)) AS INT), '-') AS ref_aln, rpad(qry, CAST(greatest(length(ref), length(qry)) AS INT), '-') AS qry_aln FROM q WHERE qry IS NOT NULL)
 SELECT *, CAST(list_sum(list_transform(range(1, length(ref_aln) + 1), lambda i: CASE WHEN substr(ref_aln, i, 1) = '-' OR substr(qry_aln, i, 1) = '-' THEN 0 WHEN substr(ref_aln, i, 1) = substr(qry_aln, i, 1) THEN 2 ELSE -2 END)) AS BIGINT) AS score FROM w""",
     "pileup_call": f"""WITH {_B}, dr AS (SELECT true_template AS cluster_id, arg_min(seq, read_idx) AS ref, count(*) AS n FROM rb GROUP BY 1),
