@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from . import tables, text
 
 PERMUTATIONS, ROWS, CLASSES = 64, 4, 32
-#: About as many shingles are counted at once, and sums of as many documents held at once.
-BUCKET, TARGET = 1 << 18, 4096
+#: About as many shingles are counted at once.
+BUCKET = 1 << 18
 
 
 def shingles(data: np.ndarray, at: np.ndarray, words: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -158,31 +158,26 @@ def _pack_shingles(words: int, buckets: int):
 _SHARED = [f"s{c}" for c in range(CLASSES)]
 
 
-def _count_shared(parts: int):
-    """Packed (target, class, docs, counts): how many of the documents' shingles of a class occur in others, bucket by bucket."""
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, class, n): how many of the documents' shingles of a class occur in others, in a bucket or in a batch of documents."""
 
-    def deal(kind: int, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        target = (text.mix(ids.astype(np.uint64), 8) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(target, kind="stable")
-        target, ids, counts = target[order], ids[order], counts[order]
-        cut = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1], [True]))) if len(ids) else np.zeros(1, np.int64)
-        pairs = list(zip(cut[:-1], cut[1:], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(target[cut[:-1]]), pa.array([kind] * len(pairs), pa.int32()), text.binary([ids[i:j].tobytes() for i, j in pairs]), text.binary([counts[i:j].tobytes() for i, j in pairs])], ["target", "class", "docs", "counts"])
+    def rows(ids: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(kinds.astype(np.int32)), pa.array(counts)], ["doc_id", "class", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _groups(batches, "bucket"):
-            parts = []
-            for r in rows:
-                known = np.frombuffer(r["known"], np.int64)
-                if len(known):
-                    yield deal(-1, known, np.frombuffer(r["counts"], np.int64).reshape(-1, CLASSES))
-                parts.append((np.frombuffer(r["shingles"], np.uint64), np.frombuffer(r["docs"], np.int64), np.frombuffer(r["several"], bool)))
-            h, docs, several = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, at = np.unique(h, return_inverse=True)
-            shared = np.bincount(at, weights=1 + several) > 1
-            yield deal(bucket % CLASSES, *np.unique(docs[shared[at] & ~several], return_counts=True))
-
-    return run, "target int, class int, docs binary, counts binary"
+    for bucket, held in _groups(batches, "bucket"):
+        parts = []
+        for r in held:
+            known = np.frombuffer(r["known"], np.int64)
+            if len(known):
+                counts = np.frombuffer(r["counts"], np.int64)
+                some = np.flatnonzero(counts)
+                yield rows(known[some // CLASSES], some % CLASSES, counts[some])
+            parts.append((np.frombuffer(r["shingles"], np.uint64), np.frombuffer(r["docs"], np.int64), np.frombuffer(r["several"], bool)))
+        h, docs, several = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at = np.unique(h, return_inverse=True)
+        shared = np.bincount(at, weights=1 + several) > 1
+        ids, many = np.unique(docs[shared[at] & ~several], return_counts=True)
+        yield rows(ids, np.full(len(ids), bucket % CLASSES), many)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -200,22 +195,6 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, held
 
 
-def _sum_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, s0, s1, ...), one row for each document."""
-    for _, rows in _groups(batches, "target"):
-        parts = [(r["class"], np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in rows]
-        ids, at = np.unique(np.concatenate([d for _, d, _ in parts]), return_inverse=True)
-        total, start = np.zeros((len(ids), CLASSES), np.int64), 0
-        for kind, docs, counts in parts:
-            place = at[start : start + len(docs)]
-            start += len(docs)
-            if kind < 0:
-                np.add.at(total, place, counts.reshape(-1, CLASSES))
-            else:
-                np.add.at(total, (place, kind), counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.ascontiguousarray(total[:, c])) for c in range(CLASSES))], ["doc_id", *_SHARED])
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components over links of percent/100 Jaccard similarity or more.
 
@@ -248,15 +227,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
     labelled = tables.keep(members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     open_members = tables.keep(labelled.join(mixed, "bucket", "left_semi").join(signed.select("doc_id", "n_shingles"), "doc_id"))
-    many, volume = open_members.select("doc_id", "n_shingles").distinct().agg(F.count("*"), F.sum("n_shingles")).first()
-    if many:
+    volume = open_members.select("doc_id", "n_shingles").distinct().agg(F.sum("n_shingles")).first()[0]
+    if volume:
         texts = tables.keep(docs.join(open_members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
-        # packets follow the data: by the number of partitions they would grow with its square; buckets are a
-        # multiple of the classes, so that a bucket's shingles are of one class
+        # buckets are a multiple of the classes, so that a bucket's shingles are of one class
         pack, packed = _pack_shingles(words, CLASSES * -(-volume // (CLASSES * BUCKET)))
-        count, counted = _count_shared(-(-many // TARGET))
-        by_bucket = texts.mapInArrow(pack, packed).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, counted)
-        common = by_bucket.repartition("target").sortWithinPartitions("target").mapInArrow(_sum_shared, "doc_id long, " + ", ".join(f"{c} long" for c in _SHARED))
+        counted = texts.mapInArrow(pack, packed).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, "doc_id long, class int, n long")
+        # one row for each document, class and bucket or batch with shared shingles: no more than there are shingles
+        common = counted.groupBy("doc_id").agg(*(F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(s) for c, s in enumerate(_SHARED)))
         # the most shingles that a linked partner can have
         reach = F.floor(sum((F.col(c) for c in _SHARED), F.lit(0)) * (100 + percent) / percent) - F.col("n_shingles")
         able = open_members.join(common, "doc_id").withColumn("reach", reach)
