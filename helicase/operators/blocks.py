@@ -116,8 +116,8 @@ def kept_blocks(df: DataFrame, key: str, columns: dict[str, str], size: int = BL
     return keep(pack(df, key, columns, size, by_length))
 
 
-def labelled(rows: DataFrame, group: str, work: Callable[[list[str]], np.ndarray], order: str = "read_idx") -> DataFrame:
-    """(group, part, order): `work` numbers the sequences of each group, which come in the order of the column `order`.
+def labelled(rows: DataFrame, group: str, work: Callable[[list[str], np.ndarray], np.ndarray], order: str = "read_idx") -> DataFrame:
+    """(group, part, order): `work` numbers the sequences of each group, which come in the order of the column `order`, whose values it gets too.
 
     Groups follow each other in Arrow batches, so small ones cost no call of their own between Spark and Python.
     """
@@ -128,15 +128,17 @@ def labelled(rows: DataFrame, group: str, work: Callable[[list[str]], np.ndarray
 
         def solve(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
             seqs = table.column("seq").to_pylist()
-            parts = [work(seqs[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            places = table.column(order).to_numpy()
+            parts = [work(seqs[i:j], places[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             names = [table.column(c).combine_chunks() for c in (group, order)]
             return pa.RecordBatch.from_arrays([names[0], pa.array(np.concatenate(parts).astype(np.int64)), names[1]], [group, "part", order])
 
         for batch in batches:
-            held.append(batch)
-            keys = batch.column(group)
-            if keys[0] == keys[-1] and len(held) > 1:
+            if not batch.num_rows:
                 continue
+            held.append(batch)
+            if len(held) > 1 and held[0].column(group)[0] == batch.column(group)[batch.num_rows - 1]:
+                continue  # all of one group, which may go on
             table = pa.Table.from_batches(held).combine_chunks()
             number = table.column(group).combine_chunks().dictionary_encode().indices.to_numpy()
             ends = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))

@@ -293,7 +293,7 @@ def dp_means_grouped(spark, sf):
 
 
 def dp_means_distributed(spark, sf):
-    return dpmeans.distributed(reads_a(spark, sf), K, True, 0.2, 3)
+    return dpmeans.exact(reads_a(spark, sf), K, True, 0.2, 3)
 
 
 def fine_split(spark, sf):

@@ -134,7 +134,7 @@ def test_dp_means_local_and_distributed(spark, noisy):
         want = brute.dp_means(vectors, radius, rounds, distance)
         assert dpmeans.local(np.array(vectors), radius, rounds, dpmeans.normalized(4)).tolist() == want
         frame = _frame(spark, [(s, 1) for s in seqs])
-        got = {r["read_idx"]: r["cluster_id"] for r in dpmeans.distributed(frame, 4, True, radius, rounds, size=16).collect()}
+        got = {r["read_idx"]: r["cluster_id"] for r in dpmeans.exact(frame, 4, True, radius, rounds, size=16).collect()}
         names_of = sorted(set(got.values()))
         assert [names_of.index(got[i]) for i in range(60)] == want
     blob = np.concatenate((np.zeros((1, 2)), 100 + np.arange(100).reshape(50, 2)))
@@ -154,6 +154,36 @@ def test_fine_split_parts_two_alleles(spark):
     assert [sorted(g.tolist()) for g in groups] == [[0, 1], [2, 3, 4]]
 
 
+def _families(seed: int, n: int) -> list[tuple[int, int, str]]:
+    """Reads of five clusters, each of some alleles with edits, in mixed order."""
+    rng = random.Random(seed)
+    alleles = {c: [_edited(rng, a, 6 * j) for j in range(4)] for c, a in ((c, _random(rng, 90)) for c in range(5))}
+    return [(c, i, _edited(rng, rng.choice(alleles[c]), rng.choice([0, 0, 0, 1, 2]))) for i, c in ((i, rng.choice([0, 0, 0, 1, 2, 3, 4])) for i in range(n))]
+
+
+def test_fine_split_by_levels_and_within_tasks_agree(spark, monkeypatch):
+    rows = _families(31, 220)
+    frame = spark.createDataFrame(rows, "cluster_id long, read_idx long, seq string").repartition(3)
+    params = RadParams(k=4, min_cluster_size=4, fine_split_min_var=0.02, fine_split_radius=0.012, fine_split_max_depth=2, fine_split_max_iter=4)
+    want = {r["read_idx"]: (r["cluster_id"], r["part"]) for r in finesplit.fine_split(frame, params).collect()}
+    assert len(want) == 220 and 5 < len(set(want.values())) < 60
+    assert all(part == min(i for i, x in want.items() if x == (c, part)) for c, part in want.values())
+    for reads in (60, 5):  # some clusters by levels, then all
+        monkeypatch.setattr(dpmeans, "READS", reads)
+        assert {r["read_idx"]: (r["cluster_id"], r["part"]) for r in finesplit.fine_split(frame, params).collect()} == want
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize(("radius", "rounds"), [(0.02, 6), (0.0, 3), (0.02, 1), (0.3, 4)])
+def test_dp_means_in_groups_of_any_size_agree(spark, monkeypatch, radius, rounds):
+    rows = _families(7, 90)
+    frame = spark.createDataFrame(rows + [(0, 90 + i, rows[0][2]) for i in range(20)], "g long, read_idx long, seq string").repartition(3)
+    take = lambda: {r["read_idx"]: (r["g"], r["part"]) for r in dpmeans.in_groups(frame, "g", 4, True, radius, rounds, 1).collect()}
+    want = take()
+    monkeypatch.setattr(dpmeans, "READS", 15)
+    assert take() == want and len(want) == 110
+
+
 @pytest.mark.parametrize(("n", "largest"), [(272, 1), (273, 2)])
 def test_lsh_spreads_equal_reads(spark, n, largest):
     rows = spark.range(n).select(F.col("id").alias("read_idx"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * 7).alias("sig"))
