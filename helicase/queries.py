@@ -36,6 +36,8 @@ def reads_a(spark: SparkSession, sf: str) -> DataFrame:
 
 def _noisy(rows: DataFrame, key: str, group: str) -> DataFrame:
     """For each row a read: one of 20 templates by `group`, with one edit or none by `key`."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(key, group).repartition(parts, key)  # two numbers a row: a small file is one task, the digests below are many
     t = F.col(group) % 20
     digests = F.concat(*[F.md5(F.concat(F.lit("t"), t.cast("string"), F.lit(c)).cast("binary")) for c in "abcdefgh"])
     h = F.md5(F.concat(F.lit("m"), F.col(key).cast("string")).cast("binary"))
