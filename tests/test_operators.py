@@ -121,6 +121,46 @@ def test_assignment_over_candidates(spark, noisy):
     assert {r["uid"]: r["tid"] for r in assign.best_candidate(cut, "uid", 3, 0.3).collect()} == {1: 2, 2: 4}
 
 
+def _plain_by_sketch(rows, templates, k, top, most):
+    """(tid, sq) of each row by looking at all templates."""
+    import math
+
+    counted = {s: brute.counts(s, k) for s in {s for _, s, _ in [*rows, *templates]}}
+    out = {}
+    for i, s, sig in rows:
+        differ = lambda t: sum(x != y for x, y in zip(sig, t[2], strict=True)) / len(sig)  # noqa: B023, E731
+        d = lambda t: 0 - math.log(2 * max(1 - differ(t), 2.2250738585072014e-308) / (1 + max(1 - differ(t), 2.2250738585072014e-308))) / k  # noqa: B023, E731
+        ranked = sorted(templates, key=lambda t: (d(t), t[0]))[:top]  # noqa: B023
+        ranked = [t for t in ranked if d(t) <= most] or ranked
+        sq = [brute.squared(counted[s], counted[t[1]]) for t in ranked]
+        out[i] = (ranked[sq.index(min(sq))][0], min(sq))
+    return out
+
+
+def test_pruned_searches_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(17)
+    roots = [_random(rng, rng.choice([70, 90, 120])) for _ in range(12)]
+    templates = [(t, _edited(rng, roots[t % 12], rng.randint(0, 9))) for t in range(60)]
+    rows = [(i, _edited(rng, rng.choice(templates)[1], rng.randint(0, 5))) for i in range(100)] + [(200 + i, _random(rng, 80)) for i in range(6)] + [(300, "ACG"), (301, templates[5][1])]
+    t, r = spark.createDataFrame(templates, "tid long, seq string"), spark.createDataFrame(rows, "uid long, seq string").repartition(3)
+    counted = {s: brute.counts(s, 6) for _, s in [*rows, *templates]}
+    want = {i: min((brute.squared(counted[s], counted[x]), tid) for tid, x in templates) for i, s in rows}
+    report: dict[str, int] = {}
+    got = {x["uid"]: (x["sq"], x["tid"]) for x in assign.nearest(r, "uid", t, 6, size=16, report=report).collect()}
+    assert got == want and 0 < report["compared"] < report["all"] * 0.6
+    signed = lambda df, key: df.join(sketch.signatures(df, key, 6, 48), key).cache()
+    rs, ts = signed(r, "uid"), signed(t, "tid")
+    plain_rows, plain_templates = ([(x[key], x["seq"], x["sig"]) for x in df.collect()] for df, key in ((rs, "uid"), (ts, "tid")))
+    for top, most in ((3, 0.05), (40, 0.2), (2, -1.0)):
+        report = {}
+        got = {x["uid"]: (x["tid"], x["sq"]) for x in assign.by_sketch(rs, "uid", ts, 6, top, most, size=16, report=report).collect()}
+        assert got == _plain_by_sketch(plain_rows, plain_templates, 6, top, most)
+        assert (report["rows compared with all"] < 60) == (most > 0)
+    none = spark.createDataFrame([], "tid long, seq string")
+    assert assign.nearest(r, "uid", none, 6).count() == 0 and assign.nearest(none.withColumnRenamed("tid", "uid"), "uid", t, 6).count() == 0
+    assert neighbours.pairs(none.withColumnRenamed("tid", "uid"), 6, 1.0).count() == 0
+
+
 def test_dp_means_local_and_distributed(spark, noisy):
     seqs = [s for s, _ in noisy[1]][:60]
     names = sorted({w for s in seqs for w in brute.counts(s, 4)})
