@@ -84,6 +84,35 @@ def test_neighbours_and_selection(spark, noisy):
     assert sorted(r["uid"] for r in selection.greedy_independent(unique, edges).collect()) == taken
 
 
+def _loop(n, edges):
+    near: dict[int, list[int]] = {}
+    for a, b in edges:
+        near.setdefault(max(a, b), []).append(min(a, b))
+    taken: set[int] = set()
+    for i in range(n):
+        if not taken & set(near.get(i, [])):
+            taken.add(i)
+    return sorted(taken)
+
+
+def test_selection_on_chains_and_random_graphs(spark, monkeypatch):
+    frame = lambda edges: spark.createDataFrame(edges, "ua long, ub long").repartition(3)
+    n, rng, report = 10_000, random.Random(4), {}
+    chain = [(i, i + 1) for i in range(n - 1)]
+    got = selection.greedy_independent(spark.range(n).withColumnRenamed("id", "uid"), frame(chain), report)
+    assert sorted(r[0] for r in got.collect()) == list(range(0, n, 2)) and report["rounds"] < 20
+    place = list(range(300))
+    rng.shuffle(place)
+    edges = [(place[i], place[i + 1]) for i in range(150)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(0, i) for i in range(200, 240)]
+    edges = [e for e in edges if e[0] != e[1]]
+    nodes = spark.range(300).withColumnRenamed("id", "uid")
+    for rounds, most in ((4, 1 << 20), (1, 1 << 20), (1, 3), (1, 0)):
+        monkeypatch.setattr(selection, "ROUNDS", rounds)
+        monkeypatch.setattr(selection, "EDGES", most)
+        assert sorted(r[0] for r in selection.greedy_independent(nodes, frame(edges)).collect()) == _loop(300, edges)
+    assert selection.greedy_independent(nodes, spark.createDataFrame([], "ua long, ub long")).count() == 300
+
+
 @pytest.mark.parametrize(("threshold", "least"), [(1.0, 2), (8.0, 1), (1.0, 1000)])
 def test_fad(spark, noisy, threshold, least):
     order, taken, best = brute.greedy(noisy[1], 6, threshold, least)
