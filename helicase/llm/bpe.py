@@ -2,13 +2,15 @@
 
 Each pre-token is a linked list of its bytes. A bucket for each merge rank holds the positions of pairs with that
 rank, leftmost first, and three levels of 64-bit words mark the buckets that aren't empty: finding the next rank is three
-find-first-set steps, whatever the pre-token's length. Entries whose pair has changed since are skipped as stale, so a
-merge costs constant time and very long pre-tokens take time in proportion to their length.
+find-first-set steps, whatever the pre-token's length. Within a bucket positions are a
+heap, so that the leftmost comes first. Entries whose pair has changed since are skipped as stale, so a merge costs a step in the
+logarithm of its bucket's length, and very long pre-tokens take time about in proportion to their length.
 
 Distinct pre-tokens are encoded once and remembered in a bounded table of each worker.
 
 Edge cases: a null or empty text has no ids and decodes to the empty string; special tokens' strings are ordinary
-text; an empty table gives an empty result; repeated rows are encoded alike.
+text; an empty table gives an empty result; repeated rows are encoded alike; doc_id is carried as it is, null too; texts of any
+length are encoded whole, in a step of their own; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ prefix hashes; of equal conversations the smallest conv_id stays. The maximal on
 
 Edge cases: turns are ordered by turn, then role and text, and numbered anew, so gaps don't matter and a turn that is
 logged twice counts twice; a null role or text differs from an empty one when conversations are compared, and is
-rendered as "unknown" and as nothing; turns whose conv_id is null are left out; an empty table gives an empty result.
+rendered as "unknown" and as nothing; turns whose conv_id is null are left out; an empty table gives an empty result. A conversation is
+one row of the result, so its turns meet in one task; texts and conversations of any length are rendered whole, as far as a row can hold them.
+Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

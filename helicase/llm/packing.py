@@ -7,7 +7,7 @@ length (at most `capacity` numbers, whatever the corpus) for groups of equal seq
 place by its rank among the pieces of its length. Nothing is packed by partition, so no partition leaves gaps of its own.
 
 Edge cases: a null or empty text is the end id alone; an empty table gives an empty result; rows whose doc_id is null are
-packed too; repeated rows are packed one by one. Special tokens within a text get their own ids, as in the library, or are
+packed too; repeated rows are packed one by one; a text of any length is encoded whole, in a step of its own; further columns are ignored. Special tokens within a text get their own ids, as in the library, or are
 text like any other with `encode_special_tokens`, as the library names it; so pieces may hold the end id of the file.
 """
 

@@ -4,7 +4,8 @@ Documents are aggregated by their encoded length; suffix sums over the histogram
 truncated totals for every context limit without another pass over the texts. The sums are taken in blocks of lengths:
 within a block by a window, between blocks by the blocks' totals.
 
-Edge cases: a null or empty text has length 0; an empty table gives an empty histogram, total 0 and no quantile.
+Edge cases: a null or empty text has length 0; an empty table gives an empty histogram, total 0 and no quantile; rows count one by one,
+also those that share a doc_id or have none; texts of any length are encoded whole, in a step of their own; further columns are ignored.
 """
 
 from __future__ import annotations
