@@ -452,6 +452,22 @@ sp AS MATERIALIZED (SELECT pid, ref, concat(substr(ref, 1, place - 1), substr('A
   substr(ref, CAST(place + ('0x' || substr(g, 7, 2))::BIGINT % 3 AS INT))) AS qry FROM pr1)"""
 
 
+def _signatures(table: str, size: int, name: str) -> str:
+    """Densified signatures of (uid, kmer) in DuckDB: products modulo 2**64 by 128-bit numbers; an empty slot takes the first full one that it visits, or one by its number."""
+    times = lambda x, c: f"CAST(CAST({x} AS UHUGEINT) * {c}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    code = f"list_sum(list_transform(range(0, {K}), lambda j: strpos('CGT', substr(kmer, {K} - j, 1)) * (1 << (2 * j))))"
+    return f"""{name}1 AS (SELECT uid, {times('c', 0x9E3779B97F4A7C15)} AS h FROM (SELECT uid, CAST({code} AS UBIGINT) AS c FROM {table})),
+{name}2 AS (SELECT uid, {times('xor(h, h >> 29)', 0xBF58476D1CE4E5B9)} AS h FROM {name}1),
+{name}3 AS MATERIALIZED (SELECT uid, CAST(h % {size} AS INT) AS slot, min(h) AS low FROM (SELECT uid, xor(h, h >> 32) >> 1 AS h FROM {name}2) GROUP BY ALL),
+{name}4 AS MATERIALIZED (SELECT uid, map_from_entries(list((slot, low))) AS m, list_sort(list(slot)) AS held FROM {name}3 GROUP BY uid),
+{name}5 AS (SELECT slot, attempt, xor({times('slot + 1', 0x9E3779B97F4A7C15)}, {times('attempt', 0xC2B2AE3D27D4EB4F)}) AS h FROM range({size}) s(slot), range(1, 257) t(attempt)),
+{name}6 AS (SELECT slot, attempt, {times('xor(h, h >> 31)', 0xBF58476D1CE4E5B9)} AS h FROM {name}5),
+{name}7 AS MATERIALIZED (SELECT slot, list(CAST(xor(h, h >> 29) % {size} AS INT) ORDER BY attempt) AS visits FROM {name}6 GROUP BY slot),
+{name}8 AS MATERIALIZED (SELECT uid, list_transform(range(0, {size}), lambda i: list_contains(held, i)) AS is_full FROM {name}4),
+{name}9 AS (SELECT uid, slot, CASE WHEN is_full[slot + 1] THEN slot ELSE coalesce(visits[list_position(list_transform(visits, lambda v: is_full[v + 1]), true)], held[slot % length(held) + 1]) END AS source FROM {name}8 JOIN {name}4 USING (uid), {name}7),
+{name} AS MATERIALIZED (SELECT uid, slot, (low // {size}) & 65535 AS v FROM (SELECT e.uid, e.slot, f.low FROM {name}9 e JOIN {name}3 f ON f.uid = e.uid AND f.slot = e.source))"""
+
+
 def _wavefront(pairs: str, methods: dict[str, tuple[bool, int | None]], band: int, name: str) -> str:
     """Alignments of (pid, ref, qry), cell by cell: a row for each anti-diagonal, whose values are four times the score plus the direction; then the way back."""
     run = lambda s: f"list_transform(range(1, length({s}) + 1), lambda i: list_bool_or(list_transform(range(0, 3), lambda o: i > o AND substr({s}, i - o, 3) = repeat(substr({s}, i, 1), 3))))"
@@ -525,6 +541,13 @@ JOIN n a ON a.uid = ua JOIN n b ON b.uid = ub WHERE a.q + b.q - 2 * dot <= 12"""
     "fad_templates_wide": f"{_ABASE}, {_greedy('SELECT ua, ub FROM ds WHERE sq <= 144', 'SELECT uid FROM u')} SELECT tid, uid, cnt FROM tp",
     "fad_assign": f"{_ABASE}, {_greedy('SELECT ua, ub FROM ds JOIN u x ON x.uid = ua JOIN u y ON y.uid = ub WHERE sq <= 96 AND x.cnt >= 2 AND y.cnt >= 2', 'SELECT uid FROM u WHERE cnt >= 2')}, {_ASSIGN} SELECT uid, tid FROM asg",
     "fad_full": f"{_FAD_B}, {_ASSIGN} SELECT tid, tp.uid, tp.seq, tp.cnt, CAST(coalesce(sum(u.cnt), 0) AS BIGINT) AS assigned FROM tp LEFT JOIN asg USING (tid) LEFT JOIN u ON u.uid = asg.uid GROUP BY ALL",
+    "sketch_signatures": f"""WITH {_A}, {_uniques('ra')}, {_counts('u', 'uid')}, {_signatures('km', 128, 'sg')}
+SELECT uid, string_agg(v, ',' ORDER BY slot) AS sig FROM sg GROUP BY uid""",
+    "fad_sketched": f"""{_BU}, pe AS MATERIALIZED (SELECT ua, ub FROM (SELECT a.uid AS ua, b.uid AS ub, CAST(sum(a.c * b.c) AS BIGINT) AS dot FROM km a JOIN km b ON a.kmer = b.kmer AND a.uid < b.uid WHERE a.uid IN (SELECT uid FROM u WHERE cnt >= 2) AND b.uid IN (SELECT uid FROM u WHERE cnt >= 2) GROUP BY ALL) JOIN n a ON a.uid = ua JOIN n b ON b.uid = ub WHERE a.q + b.q - 2 * dot <= 12),
+kt AS (SELECT uid, kmer FROM km WHERE uid IN (SELECT ua FROM pe UNION SELECT ub FROM pe)), {_signatures('kt', 512, 'sg')},
+hd AS MATERIALIZED (SELECT ua, ub, greatest(count(*) FILTER (WHERE a.v = b.v) / 512, 2.2250738585072014e-308) AS j FROM pe JOIN sg a ON a.uid = ua JOIN sg b ON b.uid = ub AND b.slot = a.slot GROUP BY ALL),
+{_greedy(f"SELECT ua, ub FROM hd WHERE 0.0 - ln(2 * j / (1 + j)) / {K} <= 0.03", "SELECT uid FROM u WHERE cnt >= 2")}, {_ASSIGN}
+SELECT tid, tp.uid, tp.seq, tp.cnt, CAST(coalesce(sum(u.cnt), 0) AS BIGINT) AS assigned FROM tp LEFT JOIN asg USING (tid) LEFT JOIN u ON u.uid = asg.uid GROUP BY ALL""",
     "sketch_slots": f"WITH {_SLOTS} SELECT uid, h % 64 AS bin, min(h) AS low FROM hh GROUP BY ALL",
     "sketch_distances": f"WITH {_SIGS} SELECT ua, ub, h, round(d, 9) AS d FROM bd",
     "sketch_candidates": f"""WITH {_SIGS}, {_NORMS}, p AS (SELECT y.uid, x.uid AS tid, greatest(coalesce(m, 0) / 32, 2.2250738585072014e-308) AS j FROM u x JOIN u y ON x.cnt >= 3 AND y.cnt < 3 LEFT JOIN mt ON ua = x.uid AND ub = y.uid),

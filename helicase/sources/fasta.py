@@ -1,7 +1,7 @@
 """FASTA and FASTQ files as DataFrames of reads, and back.
 
-Plain files and gzip (by the extension .gz) are read by Spark's own text source. FASTA is split at lines that begin
-with ">"; FASTQ records are four lines each, so their lines are numbered within each file.
+Plain files and gzip (by the extension .gz) are read by Spark's own text source, gzip FASTQ of many members by ranges where Python can
+open the path. FASTA is split at lines that begin with ">"; FASTQ records are four lines each, so their lines are numbered within each file.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidParam
 from ..functions import sequences as S
 from ..operators.derep import READS, numbered
+from . import members
 
 
 def sniff(spark: SparkSession, path: str) -> str:
@@ -42,10 +43,12 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     block of a file as Spark splits it, plus the lines of the blocks before. A file ends at the first record whose header
     has no @; reads follow the order of the files' names.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    sizes = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n") - F.col("first")  # a row for each block of a file
-    lines = raw.join(F.broadcast(sizes.select("file", "start", before.alias("shift"))), ["file", "start"]).withColumn("line", F.col("at") + F.col("shift"))
+    lines = _gzip_lines(spark, path)
+    if lines is None:
+        raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+        sizes = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+        before = F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n") - F.col("first")  # a row for each block of a file
+        lines = raw.join(F.broadcast(sizes.select("file", "start", before.alias("shift"))), ["file", "start"]).withColumn("line", F.col("at") + F.col("shift"))
     part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
     records = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"))
     good = F.col("head").startswith("@")
@@ -56,6 +59,14 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return _as_reads(rows, "file", "record")
 
 
+def _gzip_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """Lines of gzip files by their members, if all files of the path are such and can be opened."""
+    files = spark.read.format("binaryFile").load(path).select("path").inputFiles()
+    if not files or not all(f.endswith(".gz") for f in files) or not members.can_open(files[0]):
+        return None
+    return members.read_lines(spark, path)
+
+
 def _as_reads(rows: DataFrame, *order: str) -> DataFrame:
     return numbered(rows, *order).select(*(c.split()[0] for c in READS.split(", ")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from helicase import InvalidParam, queries
 from helicase.cli import build_parser, main, rad_params
-from helicase.sources import fasta
+from helicase.sources import fasta, members
 from helicase.streaming.abundance import running_abundance
 
 FASTA = ">Uniq1;size=48;x=1\r\nacgu\r\nACGT  \r\n>empty\r\n>two size=3\nTTTT\n>three\nGG>G\nA\n"
@@ -107,3 +107,42 @@ def test_distances_of_reads_without_a_shared_kmer(spark, monkeypatch):
     monkeypatch.setattr(queries, "reads_a", lambda spark, sf: reads)
     assert [tuple(r) for r in queries.corrected_distance_full(spark, "").collect()] == [(0, 1, 110)]
     assert [tuple(r) for r in queries.corrected_distance_normalized(spark, "").collect()] == [(0, 1, round(1 / 6, 9))]
+
+
+def _cut_members(raw: bytes, seed: int, many: int) -> bytes:
+    rng = random.Random(seed)
+    cuts = [0, *sorted(rng.randrange(len(raw) + 1) for _ in range(many - 1)), len(raw)]
+    return b"".join(gzip.compress(raw[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True))
+
+
+@pytest.mark.parametrize(("many", "size"), [(1, 500), (60, 500), (60, 10**6), (7, 97), (300, 400)])
+def test_gzip_members_anywhere_give_the_lines_of_the_whole(spark, tmp_path, many, size):
+    rng = random.Random(many)
+    records = [(f"r{i} é x", "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    raw = "".join(f"@{h}\n{s}\n+\n{'I' * len(s)}\n" for h, s in records).encode()
+    raw = raw[:-1] if many == 7 else raw
+    path = tmp_path / "many.fq.gz"
+    path.write_bytes(_cut_members(raw, many, many) + (b"\0" * 40 if many == 60 else b""))
+    got = members.read_lines(spark, str(path), size).orderBy("line").collect()
+    want = raw.decode().split("\n")
+    want = want[:-1] if want[-1] == "" else want
+    assert [r["line"] for r in got] == list(range(len(want))) and [r["value"] for r in got] == want
+    pieces = members.read_pieces(spark, str(path), size).withColumn("task", F.spark_partition_id())
+    tasks = pieces.select("task").distinct().count()
+    assert tasks == 1 if many == 1 or size > 10**5 else tasks > 2
+    plain = tmp_path / "many.fq"
+    plain.write_bytes(raw)
+    rows = lambda p: [tuple(r) for r in fasta.read_fastq(spark, str(p)).orderBy("read_idx").collect()]
+    assert rows(path) == rows(plain) and len(rows(path)) > 100
+
+
+def test_gzip_marks_by_chance_and_broken_files(spark, tmp_path):
+    marks = b"@r\nAC\n+\nII\n" + b"".join(gzip.compress(bytes([i])) for i in range(20))
+    path = tmp_path / "marks.fq.gz"
+    path.write_bytes(gzip.compress(marks, 0) + gzip.compress(b"\n@s\nG\n+\nI\n"))  # level 0 stores the marks as they are
+    with pytest.raises(Exception, match="no gzip member ends at"):
+        members.read_lines(spark, str(path), 40).collect()
+    assert members.read_lines(spark, str(path)).count() >= 8
+    path.write_bytes(gzip.compress(b"@r\nAC\n+\nII\n" * 50)[:-9])
+    with pytest.raises(Exception, match="ends within a gzip member"):
+        members.read_lines(spark, str(path)).collect()
