@@ -259,7 +259,8 @@ def test_lsh_spreads_equal_reads(spark, n, largest):
     assert lsh.max_bin_size(100, 4096, 1) == 256 and lsh.max_bin_size(10**8, 4096, 1) == 2048 and lsh.max_bin_size(10**6, 1000, 1) == 1000
 
 
-def test_lsh_choices_by_component_are_those_of_one_stream(spark):
+def test_lsh_choices_by_component_are_those_of_one_stream(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "FEW", 0)
     rng = random.Random(12)
     rows = [(i, [rng.choice([c, 100 + c, 200 + rng.randrange(3) + 10 * c, 1000 + rng.randrange(40)]) for _ in range(4)]) for i in range(400) for c in [rng.randrange(30)]]
     rows = [(i, keys) for i, keys in rows if i % 5] + [(i, [10_000 + i] * 4) for i in range(0, 400, 5)]
