@@ -86,7 +86,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "orders", "customer"):
+    for t in ("documents", "orders", "customer", "part"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     columns = sorted(want.columns)
