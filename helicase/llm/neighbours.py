@@ -10,8 +10,10 @@ all centroids (so the ratio means the same for clustered vectors and for those t
 prunes the rest and scans what is left with exact Euclidean distances in double precision. No number of lists is fixed.
 A query that still has fewer than k neighbours is compared with all vectors.
 
-Lists are tables of packed blocks joined to packed blocks of queries, so a list may be of any length and Spark may split
-it between tasks. The driver and the broadcast hold the centroids and their graph only, at most CENTROIDS of them.
+Lists are tables of packed blocks, each of about BLOCK bytes of one list where it holds as many, joined to packed blocks of
+queries, so a list may be of any length and Spark may split it between tasks. A task that scans holds the best of at most about HELD
+queries and hands them on before it takes more. The driver and the broadcast hold the centroids and their graph only, at most
+CENTROIDS of them.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or candidates, and
 neither do vectors of another length than the most frequent; rows whose vec_id is null take no part; of rows with one
@@ -21,7 +23,7 @@ returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,13 +36,13 @@ from . import tables, text
 
 #: Bounds of the sample that is fitted and of the centroids.
 SAMPLE, CENTROIDS = 16_384, 4_096
-#: Queries that are packed at once; fewer when each searches all lists.
-BATCH = 16_384
+#: Bytes of a list's block and of a block of queries; bytes of queries that a task packs at once; queries whose best a task holds.
+BLOCK, ASKED, PACKED, HELD = 1 << 20, 1 << 23, 1 << 25, 16_384
 LEAF, COPIES, BOUNDARY, RATIO, LINKS = 4, 2, 1.1, 0.73, 24
 #: Lists whose distance is that of the nearest but for this factor are never pruned: to a vector far from all, all are like that.
 NEAR = 1.05
-#: Centroids that a search looks into beyond its limit before it ends.
-PATIENCE = 24
+#: Centroids that a search looks into at once, and those beyond its limit before it ends.
+WIDTH, PATIENCE = 128, 24
 
 
 @dataclass
@@ -119,33 +121,27 @@ def build_graph(centroids: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarr
 
 
 def search_graph(index: Index, query: np.ndarray, sizes: np.ndarray, enough: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids found, nearest first, and their squared distances: best-first search until none ahead is within the limit that the lists with `enough` vectors set."""
+    """Centroids found, nearest first, and their squared distances: best-first search, WIDTH at a time, until none ahead is within the limit that the lists with `enough` vectors set."""
     c = index.centroids
-    seen = np.zeros(len(c), bool)
+    seen, spent = np.zeros(len(c), bool), np.zeros(len(c), bool)
     seen[index.entries] = True
-    front = list(zip(((c[index.entries] - query) ** 2).sum(1).tolist(), index.entries.tolist(), strict=True))
-    found = list(front)
-    heapq.heapify(front)
-    beyond, nearest = 0, sorted(front)  # the lists that hold `enough` vectors, so far
-    while front:
-        d, i = heapq.heappop(front)
-        if d > index.limit(query, nearest[-1][0], ratio) and sum(sizes[j] for _, j in nearest) >= enough:
-            beyond += 1
-            if beyond > PATIENCE:
-                break
-        new = index.graph[i]
+    found, d, patience = index.entries, ((c[index.entries] - query) ** 2).sum(1), PATIENCE
+    while True:
+        order = np.lexsort((found, d))
+        found, d = found[order], d[order]
+        last = int(np.searchsorted(np.cumsum(sizes[found]), enough))
+        limit = index.limit(query, d[last], ratio) if last < len(found) else np.inf
+        fresh = np.flatnonzero(~spent[found])
+        ahead = fresh[d[fresh] <= limit][:WIDTH]
+        if not len(ahead):
+            ahead, patience = fresh[:patience], 0
+            if not len(ahead):
+                return found, d
+        spent[found[ahead]] = True
+        new = np.unique(index.graph[found[ahead]])
         new = new[~seen[new]]
         seen[new] = True
-        far = list(zip(((c[new] - query) ** 2).sum(1).tolist(), new.tolist(), strict=True))
-        found += far
-        for e in far:
-            heapq.heappush(front, e)
-            if e < nearest[-1]:
-                nearest = sorted([*nearest, e])
-                held = np.cumsum([sizes[j] for _, j in nearest])
-                nearest = nearest[: int(np.searchsorted(held, enough)) + 1]
-    found.sort()
-    return np.array([i for _, i in found], np.int64), np.array([d for d, _ in found])
+        found, d = np.concatenate((found, new)), np.concatenate((d, ((c[new] - query) ** 2).sum(1)))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -165,12 +161,15 @@ def _fit(dim: int, leaf: int, most: int):
     return run
 
 
-def _blocks(names: tuple[str, str], ids: np.ndarray, lists: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+def _blocks(names: tuple[str, str], ids: np.ndarray, lists: np.ndarray, vectors: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    """A row for each list, dealt to one of its parts by its ids."""
     order = np.argsort(lists, kind="stable")
     ids, lists, vectors = ids[order], lists[order], vectors[order]
     cut = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1], [True]))) if len(lists) else np.zeros(1, np.int64)
-    pairs = list(zip(cut[:-1], cut[1:], strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(lists[cut[:-1]], pa.int32()), text.binary([ids[i:j].tobytes() for i, j in pairs]), text.binary([vectors[i:j].tobytes() for i, j in pairs])], ["list", *names])
+    held = [ids[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    dealt = [zlib.crc32(x) % n for x, n in zip(held, parts[lists[cut[:-1]]].tolist(), strict=True)]
+    packed = [vectors[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(lists[cut[:-1]], pa.int32()), pa.array(dealt, pa.int32()), text.binary(held), text.binary(packed)], ["list", "part", *names])
 
 
 def _least(v: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -184,11 +183,12 @@ def _least(v: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return np.sort(order[np.arange(len(group)) - np.searchsorted(group, group) < most])
 
 
-def _placed(batches: Iterator[pa.RecordBatch], c: np.ndarray, dim: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(vectors, ids, centroids nearest first, their squared distances) of the candidates of each batch."""
+def _placed(batches: Iterator[pa.RecordBatch], c: np.ndarray, dim: int, most: int, copies: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(vectors, ids, centroids nearest first, those whose lists take the vector) of the candidates of each batch."""
+    rows = min(1024, max(1, BLOCK // (8 * dim)))
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
             v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
             few = _least(v, ids, most)
             v, ids = v[few], ids[few]
@@ -196,40 +196,43 @@ def _placed(batches: Iterator[pa.RecordBatch], c: np.ndarray, dim: int, most: in
             some = np.argpartition(far, min(2 * COPIES, far.shape[1]) - 1, 1)[:, : 2 * COPIES]
             d = np.take_along_axis(far, some, 1)
             order = np.lexsort((some, d))
-            yield v, ids, np.take_along_axis(some, order, 1), np.take_along_axis(d, order, 1)
+            near, d = np.take_along_axis(some, order, 1), np.take_along_axis(d, order, 1)
+            chosen = np.zeros(near.shape, bool)
+            chosen[:, 0] = True
+            for j in range(1, near.shape[1] if copies > 1 else 1):
+                close = np.zeros(len(v), bool)
+                for i in range(j):
+                    close |= chosen[:, i] & (((c[near[:, i]] - c[near[:, j]]) ** 2).sum(1) < d[:, j] * 0.5)
+                chosen[:, j] = (d[:, j] <= d[:, 1] * BOUNDARY**2) & ~close & (chosen.sum(1) < copies)
+            yield v, ids, near, chosen
 
 
 def _count(shared, dim: int, most: int):
-    """How many vectors have each centroid as their nearest."""
+    """How many vectors have each centroid as their nearest, and how many its list takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value.centroids
-        size = np.zeros(len(c), np.int64)
-        for _, _, near, _ in _placed(batches, c, dim, most):
+        size, held = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        for _, _, near, chosen in _placed(batches, c, dim, most, COPIES):
             size += np.bincount(near[:, 0], minlength=len(c))
-        held = np.flatnonzero(size)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(size[held])], ["list", "n"])
+            held += np.bincount(near[chosen], minlength=len(c))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(size[some]), pa.array(held[some])], ["list", "n", "held"])
 
-    return run, "list int, n long"
+    return run, "list int, n long, held long"
 
 
-def _post(shared, dim: int, most: int, copies: int = COPIES):
-    """Packed lists of each batch: the nearest centroid and, for boundary vectors, further ones."""
+def _post(shared, dim: int, most: int, copies: int = COPIES, held: np.ndarray | None = None):
+    """Packed lists of each batch: the nearest centroid and, for boundary vectors, further ones; lists that take `held` vectors have parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value.centroids
-        for v, ids, near, d in _placed(batches, c, dim, most):
-            chosen = np.zeros(near.shape, bool)
-            chosen[:, 0] = True
-            for j in range(1, near.shape[1] if copies > 1 else 1):
-                close = np.zeros(len(v), bool)
-                for i in range(j):
-                    close |= chosen[:, i] & (((c[near[:, i]] - c[near[:, j]]) ** 2).sum(1) < d[:, j] * 0.5)
-                chosen[:, j] = (d[:, j] <= d[:, 1] * BOUNDARY**2) & ~close & (chosen.sum(1) < copies)
+        parts = np.maximum(1, -(-(np.zeros(len(c), np.int64) if held is None else held) * 8 * dim // BLOCK))
+        for v, ids, near, chosen in _placed(batches, c, dim, most, copies):
             row, col = np.nonzero(chosen)
-            yield _blocks(("ids", "vectors"), ids[row], near[row, col], v[row])
+            yield _blocks(("ids", "vectors"), ids[row], near[row, col], v[row], parts)
 
-    return run, "list int, ids binary, vectors binary"
+    return run, "list int, part int, ids binary, vectors binary"
 
 
 def lists_of(index: Index, query: np.ndarray, sizes: np.ndarray, ratio: float, enough: int) -> np.ndarray:
@@ -242,50 +245,57 @@ def lists_of(index: Index, query: np.ndarray, sizes: np.ndarray, ratio: float, e
     return np.union1d(found, order[: int(np.searchsorted(np.cumsum(sizes[order]), enough)) + 1])
 
 
-def _ask(shared, dim: int, sizes: np.ndarray, ratio: float, enough: int | None):
+def _ask(shared, dim: int, sizes: np.ndarray, ratio: float, enough: int | None, parts: int):
     """Packed queries of the lists that they search: all lists without `enough`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        every = np.flatnonzero(sizes)
-        step = BATCH if enough is not None else max(1, BATCH // len(every))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
-                found = [every if enough is None else lists_of(index, q, sizes, ratio, enough) for q in v]
-                row = np.repeat(np.arange(len(v)), [len(x) for x in found])
-                yield _blocks(("queries", "wanted"), ids[row], np.concatenate(found), v[row])
+        every, most = np.flatnonzero(sizes), max(1, PACKED // (8 * dim))
+        for batch in batches:
+            v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
+            at, found, n = 0, [], 0
+            for i in range(len(v)):
+                found.append(every if enough is None else lists_of(index, v[i], sizes, ratio, enough))
+                n += len(found[-1])
+                if n >= most or i + 1 == len(v):
+                    row = np.repeat(np.arange(at, i + 1), [len(x) for x in found])
+                    yield _blocks(("queries", "wanted"), ids[row], np.concatenate(found), v[row], np.full(len(sizes), parts))
+                    at, found, n = i + 1, [], 0
+
+    return run, "list int, part int, queries binary, wanted binary"
 
-    return run, "list int, queries binary, wanted binary"
 
+def _scan(dim: int, k: int, most: int = HELD):
+    """The k nearest that this task has seen for each query, handed on whenever it holds `most` queries."""
 
-def _scan(dim: int, k: int):
-    """The k nearest that this task has seen, for each of its queries."""
+    def emit(best: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        size = [len(i) for i, _ in best.values()]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), size)), pa.array(np.concatenate([i for i, _ in best.values()])), pa.array(np.concatenate([d for _, d in best.values()]))], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, v = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, dim)
-                asked, q = np.frombuffer(r["queries"], np.int64), np.frombuffer(r["wanted"]).reshape(-1, dim)
-                step = max(1, (1 << 20) // max(1, v.size))
-                for at in range(0, len(asked), step):
-                    names = asked[at : at + step].tolist()
-                    far = np.sqrt(((v[None] - q[at : at + step, None]) ** 2).sum(2))
-                    worst = np.array([best[x][1][-1] if x in best and len(best[x][1]) == k else np.inf for x in names])
-                    for j in np.flatnonzero(far.min(1) <= worst).tolist():  # the others have k nearer ones
-                        query, other = names[j], ids != names[j]
-                        old = best.get(query, (np.empty(0, np.int64), np.empty(0)))
-                        i, d = np.concatenate((old[0], ids[other])), np.concatenate((old[1], far[j][other]))
-                        order = np.lexsort((i, d))
-                        i, d = i[order], d[order]
-                        # of a repeated id the nearest counts
-                        first = np.sort(np.unique(i, return_index=True)[1])
-                        best[query] = (i[first][:k], d[first][:k])
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            ids, v = np.frombuffer(b"".join(x["ids"] for x in r["held"]), np.int64), np.frombuffer(b"".join(x["vectors"] for x in r["held"])).reshape(-1, dim)
+            asked, q = np.frombuffer(b"".join(x["queries"] for x in r["asked"]), np.int64), np.frombuffer(b"".join(x["wanted"] for x in r["asked"])).reshape(-1, dim)
+            step = max(1, BLOCK // max(1, v.size))
+            for at in range(0, len(asked), step):
+                names = asked[at : at + step].tolist()
+                far = np.sqrt(((v[None] - q[at : at + step, None]) ** 2).sum(2))
+                worst = np.array([best[x][1][-1] if x in best and len(best[x][1]) == k else np.inf for x in names])
+                for j in np.flatnonzero(far.min(1) <= worst).tolist():  # the others have k nearer ones
+                    query, other = names[j], ids != names[j]
+                    old = best.get(query, (np.empty(0, np.int64), np.empty(0)))
+                    i, d = np.concatenate((old[0], ids[other])), np.concatenate((old[1], far[j][other]))
+                    order = np.lexsort((i, d))
+                    i, d = i[order], d[order]
+                    # of a repeated id the nearest counts
+                    first = np.sort(np.unique(i, return_index=True)[1])
+                    best[query] = (i[first][:k], d[first][:k])
+                if len(best) >= most:
+                    yield emit(best)
+                    best = {}
         if best:
-            size = [len(i) for i, _ in best.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), size)), pa.array(np.concatenate([i for i, _ in best.values()])), pa.array(np.concatenate([d for _, d in best.values()]))], ["query_id", "vec_id", "score"])
+            yield emit(best)
 
     return run, "query_id long, vec_id long, score double"
 
@@ -311,13 +321,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
     centroids = merged(np.frombuffer(fitted["centroids"]).reshape(-1, dim))
     shared = spark.sparkContext.broadcast(Index(centroids, *build_graph(centroids, LINKS)))  # at most CENTROIDS rows
     most = k + 1  # a query's own row is no candidate
-    sizes = np.zeros(len(centroids), np.int64)
-    for number, n in rows.mapInArrow(*_count(shared, dim, most)).groupBy("list").agg(F.sum("n")).collect():  # a row for each centroid
-        sizes[number] = n
+    sizes, held = np.zeros(len(centroids), np.int64), np.zeros(len(centroids), np.int64)
+    for number, n, taken in rows.mapInArrow(*_count(shared, dim, most)).groupBy("list").agg(F.sum("n"), F.sum("held")).collect():  # a row for each centroid
+        sizes[number], held[number] = n, taken
+    parts = -(-asked.count() * 8 * dim // ASKED)
+
+    def packed(blocks: DataFrame, name: str) -> DataFrame:
+        """One row for each part of a list, of bounded size."""
+        return blocks.groupBy("list", "part").agg(F.collect_list(F.struct(*blocks.columns[2:])).alias(name)).select("list", name)
 
     def scan(copies: int, wanted: DataFrame, enough: int | None) -> DataFrame:
-        lists, probed = rows.mapInArrow(*_post(shared, dim, most, copies)), wanted.mapInArrow(*_ask(shared, dim, sizes, ratio, enough))
-        return lists.join(probed, "list").select("ids", "vectors", "queries", "wanted").mapInArrow(*_scan(dim, k))
+        lists = rows.mapInArrow(*_post(shared, dim, most, copies, held if copies > 1 else sizes))
+        probed = wanted.mapInArrow(*_ask(shared, dim, sizes, ratio, enough, max(1, parts)))
+        return packed(lists, "held").join(packed(probed, "asked"), "list").select("held", "asked").mapInArrow(*_scan(dim, k))
 
     def nearest_rows(found: DataFrame) -> DataFrame:
         """Copies of a vector and rows of one id may be found by several tasks."""

@@ -288,6 +288,34 @@ def test_pruning_follows_the_vectors(spread, most):
     assert np.mean(scanned) <= most and len(many) > 5 and hits >= 0.9 * 10 * 40
 
 
+def test_scans_hold_few_queries():
+    """Best rows are handed on before a task holds more queries than it may, and lists of many vectors have parts of like size."""
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(600, 8)), rng.normal(size=(40, 8))
+    rows = []
+    for i in range(0, 600, 200):
+        for j in range(0, 40, 10):
+            held = [{"ids": np.arange(a, a + 100).tobytes(), "vectors": v[a : a + 100].tobytes()} for a in (i, i + 100)]
+            rows.append({"held": held, "asked": [{"queries": np.arange(1000 + j, 1010 + j).tobytes(), "wanted": q[j : j + 10].tobytes()}]})
+    best: dict[int, list] = {}
+    for batch in neighbours._scan(8, 5, 15)[0](iter([pa.RecordBatch.from_pylist(rows[:7]), pa.RecordBatch.from_pylist(rows[7:])])):
+        assert len(set(batch.column("query_id").to_pylist())) <= 25
+        for r in batch.to_pylist():
+            best.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert {x: [i for _, i in sorted(near)[:5]] for x, near in best.items()} == {1000 + j: np.argsort(np.sqrt(((v - q[j]) ** 2).sum(1)), kind="stable")[:5].tolist() for j in range(40)}
+
+    c = np.array([[0.0] * 8, [9.0] * 8])
+    index = neighbours.Index(c, *neighbours.build_graph(c, 24))
+    few = rng.normal(size=(30_000, 8)) * 0.01
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(30_000)), pa.array(list(few))], ["vec_id", "v"])
+    sizes: dict[int, int] = {}
+    for out in neighbours._post(types.SimpleNamespace(value=index), 8, 11, 1, np.array([30_000, 0]))[0](iter([batch])):
+        for r in out.to_pylist():
+            assert r["list"] == 0
+            sizes[r["part"]] = sizes.get(r["part"], 0) + len(r["ids"]) // 8
+    assert sum(sizes.values()) == 30_000 and len(sizes) == 2
+
+
 def test_chats(spark):
     rng = random.Random(12)
     talks: dict[int, list[tuple[str | None, str | None]]] = {}
