@@ -11,7 +11,7 @@ prunes the rest and scans what is left with exact Euclidean distances in double
 A query that still has fewer than k neighbours is compared with all vectors.
 
 Lists are tables of packed blocks, each of about BLOCK bytes of one list where it holds as many, joined to packed blocks of
-queries, so a list may be of any length and Spark may split it between tasks. A task that scans holds the best of at most about HELD
+queries. A list of more than SHARD bytes is dealt to several shards, which may go to several tasks, and its queries go to each. A task that scans holds the best of at most about HELD
 queries and hands them on before it takes more. The driver and the broadcast hold the centroids and their graph only, at most
 CENTROIDS of them.
 
@@ -36,8 +36,8 @@ from . import tables, text
 
 #: Bounds of the sample that is fitted and of the centroids.
 SAMPLE, CENTROIDS = 16_384, 4_096
-#: Bytes of a list's block and of a block of queries; bytes of queries that a task packs at once; queries whose best a task holds.
-BLOCK, ASKED, PACKED, HELD = 1 << 20, 1 << 23, 1 << 25, 16_384
+#: Bytes of a list's block, of a block of queries and of a list's shard; bytes of queries that a task packs at once; queries whose best a task holds.
+BLOCK, ASKED, SHARD, PACKED, HELD = 1 << 20, 1 << 23, 1 << 28, 1 << 25, 16_384
 LEAF, COPIES, BOUNDARY, RATIO, LINKS = 4, 2, 1.1, 0.73, 24
 #: Lists whose distance is that of the nearest but for this factor are never pruned: to a vector far from all, all are like that.
 NEAR = 1.05
@@ -161,6 +161,11 @@ def _fit(dim: int, leaf: int, most: int):
     return run
 
 
+def _pieces(held: np.ndarray, dim: int, size: int) -> np.ndarray:
+    """How many pieces of about `size` bytes as many vectors make."""
+    return np.maximum(1, -(-held * 8 * dim // size))
+
+
 def _blocks(names: tuple[str, str], ids: np.ndarray, lists: np.ndarray, vectors: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
     """A row for each list, dealt to one of its parts by its ids."""
     order = np.argsort(lists, kind="stable")
@@ -227,12 +232,14 @@ def _post(shared, dim: int, most: int, copies: int = COPIES, held: np.ndarray |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value.centroids
-        parts = np.maximum(1, -(-(np.zeros(len(c), np.int64) if held is None else held) * 8 * dim // BLOCK))
+        sizes = np.zeros(len(c), np.int64) if held is None else held
+        parts, shards = _pieces(sizes, dim, BLOCK), _pieces(sizes, dim, SHARD)
         for v, ids, near, chosen in _placed(batches, c, dim, most, copies):
             row, col = np.nonzero(chosen)
-            yield _blocks(("ids", "vectors"), ids[row], near[row, col], v[row], parts)
+            packed = _blocks(("ids", "vectors"), ids[row], near[row, col], v[row], parts)
+            yield packed.append_column("shard", pa.array(packed.column("part").to_numpy() % shards[packed.column("list").to_numpy()], pa.int32()))
 
-    return run, "list int, part int, ids binary, vectors binary"
+    return run, "list int, part int, ids binary, vectors binary, shard int"
 
 
 def lists_of(index: Index, query: np.ndarray, sizes: np.ndarray, ratio: float, enough: int) -> np.ndarray:
@@ -245,12 +252,12 @@ def lists_of(index: Index, query: np.ndarray, sizes: np.ndarray, ratio: float, e
     return np.union1d(found, order[: int(np.searchsorted(np.cumsum(sizes[order]), enough)) + 1])
 
 
-def _ask(shared, dim: int, sizes: np.ndarray, ratio: float, enough: int | None, parts: int):
-    """Packed queries of the lists that they search: all lists without `enough`."""
+def _ask(shared, dim: int, sizes: np.ndarray, ratio: float, enough: int | None, parts: int, held: np.ndarray):
+    """Packed queries of the lists that they search, for each of their shards: all lists without `enough`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        every, most = np.flatnonzero(sizes), max(1, PACKED // (8 * dim))
+        every, most, shards = np.flatnonzero(sizes), max(1, PACKED // (8 * dim)), _pieces(held, dim, SHARD)
         for batch in batches:
             v, ids = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
             at, found, n = 0, [], 0
@@ -259,10 +266,14 @@ def _ask(shared, dim: int, sizes: np.ndarray, ratio: float, enough: int | None,
                 n += len(found[-1])
                 if n >= most or i + 1 == len(v):
                     row = np.repeat(np.arange(at, i + 1), [len(x) for x in found])
-                    yield _blocks(("queries", "wanted"), ids[row], np.concatenate(found), v[row], np.full(len(sizes), parts))
+                    packed = _blocks(("queries", "wanted"), ids[row], np.concatenate(found), v[row], np.full(len(sizes), parts))
                     at, found, n = i + 1, [], 0
+                    number = shards[packed.column("list").to_numpy()]
+                    for shard in range(int(number.max())):
+                        some = packed.filter(pa.array(number > shard))
+                        yield some.append_column("shard", pa.array(np.full(some.num_rows, shard), pa.int32()))
 
-    return run, "list int, part int, queries binary, wanted binary"
+    return run, "list int, part int, queries binary, wanted binary, shard int"
 
 
 def _scan(dim: int, k: int, most: int = HELD):
@@ -327,13 +338,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
     parts = -(-asked.count() * 8 * dim // ASKED)
 
     def packed(blocks: DataFrame, name: str) -> DataFrame:
-        """One row for each part of a list, of bounded size."""
-        return blocks.groupBy("list", "part").agg(F.collect_list(F.struct(*blocks.columns[2:])).alias(name)).select("list", name)
+        """One row for each part of a shard, of bounded size, dealt by the keys of the join."""
+        return blocks.repartition("list", "shard").groupBy("list", "shard", "part").agg(F.collect_list(F.struct(*blocks.columns[2:4])).alias(name)).drop("part")
 
     def scan(copies: int, wanted: DataFrame, enough: int | None) -> DataFrame:
-        lists = rows.mapInArrow(*_post(shared, dim, most, copies, held if copies > 1 else sizes))
-        probed = wanted.mapInArrow(*_ask(shared, dim, sizes, ratio, enough, max(1, parts)))
-        return packed(lists, "held").join(packed(probed, "asked"), "list").select("held", "asked").mapInArrow(*_scan(dim, k))
+        taken = held if copies > 1 else sizes
+        lists = rows.mapInArrow(*_post(shared, dim, most, copies, taken))
+        probed = wanted.mapInArrow(*_ask(shared, dim, sizes, ratio, enough, max(1, parts), taken))
+        return packed(lists, "held").join(packed(probed, "asked"), ["list", "shard"]).select("held", "asked").mapInArrow(*_scan(dim, k))
 
     def nearest_rows(found: DataFrame) -> DataFrame:
         """Copies of a vector and rows of one id may be found by several tasks."""

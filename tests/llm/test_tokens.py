@@ -205,6 +205,16 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 10 * len(found)
 
 
+def test_neighbours_of_lists_in_shards(spark, monkeypatch):
+    """Lists of many shards and parts find what single ones find."""
+    v = np.random.default_rng(2).normal(size=(800, 8))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    plain = sorted(map(tuple, neighbours.search(table, table.where("vec_id % 40 = 0"), sample=40).collect()))
+    for name, size in (("BLOCK", 1 << 10), ("SHARD", 1 << 11), ("ASKED", 1 << 9), ("PACKED", 1 << 9)):
+        monkeypatch.setattr(neighbours, name, size)
+    assert len(plain) == 200 and plain == sorted(map(tuple, neighbours.search(table, table.where("vec_id % 40 = 0"), sample=40).collect()))
+
+
 def test_neighbours_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.search(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
