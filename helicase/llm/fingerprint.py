@@ -16,11 +16,12 @@ result; rows with one doc_id follow each other in the order of their texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tables, text
@@ -202,23 +203,33 @@ def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _longs(values: list[int | None]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<long>")
+
+
 def with_successors(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ghost) in runs of ascending doc_id, each run ended by a ghost copy of the row after it (after the last: the first).
 
-    Runs are cut at quantiles of the ids; the driver holds one id for each run.
+    Runs are cut at quantiles of the ids; the driver holds one id for each run. A row finds its run in two steps, among the
+    borders that begin a stretch of borders and within its stretch, so its cost grows with the root of the runs.
     """
     spark = docs.sparkSession
     runs = 4 * tables.shuffle_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / runs for i in range(1, runs)], 0.2 / runs)})
-    border = F.array(*map(F.lit, cuts)).cast("array<long>")
-    docs = docs.withColumn("run", F.size(F.filter(border, lambda x: x <= F.col("doc_id"))) if cuts else F.lit(0))
-    firsts = [tuple(r) for r in docs.groupBy("run").agg(F.min("doc_id").alias("first")).orderBy("run").collect()]
-    places = F.array(F.struct("run", F.lit(False).alias("ghost")))
-    if firsts:
-        before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-        earlier = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("doc_id")]
-        places = F.when(earlier.isNull(), places).otherwise(F.array_union(places, F.array(F.struct(earlier.alias("run"), F.lit(True).alias("ghost")))))
+    cuts = [-(2**63), *(min(x, 2**63 - 1) for x in cuts)]
+    step = math.isqrt(len(cuts) - 1) + 1
+    stretches = [_longs(cuts[i : i + step]) for i in range(0, len(cuts), step)]
+    upto = lambda borders: F.size(F.filter(borders, lambda x: x <= F.col("doc_id")))
+    docs = docs.withColumn("stretch", upto(_longs(cuts[::step])))
+    docs = docs.select("doc_id", "text", ((F.col("stretch") - 1) * step + upto(F.element_at(F.array(*stretches), F.col("stretch"))) - 1).alias("run"))
+    firsts = {r["run"]: r["first"] for r in docs.groupBy("run").agg(F.min("doc_id").alias("first")).collect()}
+    held = sorted(firsts)
+    before = dict(zip(held, held[-1:] + held[:-1], strict=True))
+    at = F.col("run") + 1
+    earlier = F.when(F.col("doc_id") == F.element_at(_longs([firsts.get(i) for i in range(len(cuts))]), at), F.element_at(_longs([before.get(i) for i in range(len(cuts))]), at).cast("int"))
+    own = F.array(F.struct("run", F.lit(False).alias("ghost")))
+    places = F.when(earlier.isNull(), own).otherwise(F.array_union(own, F.array(F.struct(earlier.alias("run"), F.lit(True).alias("ghost")))))
     rows = docs.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.run", "p.ghost")
     return rows.repartition("run").sortWithinPartitions("run", "ghost", "doc_id", "text").select("doc_id", "text", "ghost")
 

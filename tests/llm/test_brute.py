@@ -156,6 +156,20 @@ def test_null_and_repeated_ids(spark):
         end += r["length"]
 
 
+def test_fingerprints_in_many_runs(spark, corpus):
+    """The runs that the documents are cut into leave no trace, whatever the ids are."""
+    ids = [-(2**62), -7, 0, 0, 1, 2**40, 2**62]
+    docs = spark.createDataFrame([(ids[i] if i < 7 else i * 31, t) for i, (_, t) in enumerate(corpus)], "doc_id long, text string").repartition(5)
+    old, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 3, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append(sorted(map(tuple, fingerprint.fingerprints(docs).select("doc_id", "n_chars", "edited_text", "near_edited", "near_next").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(got[0]) == len(corpus) and got[0] == got[1] == got[2]
+
+
 def test_neighbours_of_null_and_repeated_ids(spark):
     rows = [(None, [1.0, 1.0]), (0, [1.0, 0.0]), (0, [3.0, 0.0]), (1, [1.0, 0.5]), (1, [9.0, 9.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0])]
     table = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<double>, rank int, list string").repartition(3)
