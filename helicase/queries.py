@@ -81,6 +81,28 @@ def _counts(table: str, key: str, name: str = "km") -> str:
 
 
 _NORMS = "n AS MATERIALIZED (SELECT uid, CAST(sum(c * c) AS BIGINT) AS q, CAST(sum(c) AS BIGINT) AS t FROM km GROUP BY uid)"
+
+
+def _dp_means(group: str, radius: float, passes: int) -> str:
+    """DP-means over ra: clusters are named by the pass that opened them, above 48 bits, and the read that did; a centroid is a sum s and its number of members m.
+
+    Distances are quotients of whole numbers, so a centroid equal to a vector is at 0 and equal centroids tie.
+    """
+    out = f"""WITH {_A}, {_counts('ra', 'read_idx')}, v AS MATERIALIZED (SELECT {group} AS g, read_idx, kmer, CAST(c AS BIGINT) AS c FROM km JOIN ra USING (read_idx)),
+vn AS MATERIALIZED (SELECT g, read_idx, CAST(sum(c * c) AS BIGINT) AS q, CAST(sum(c) AS BIGINT) AS t FROM v GROUP BY ALL),
+c0 AS MATERIALIZED (SELECT g, read_idx AS cid, CAST(1 AS BIGINT) AS m, kmer, c AS s FROM v SEMI JOIN (SELECT g, min(read_idx) AS read_idx FROM vn GROUP BY 1) f USING (g, read_idx))"""
+    for p in range(1, passes + 1):
+        out += f""",
+n{p} AS MATERIALIZED (SELECT g, cid, m, CAST(sum(s * s) AS BIGINT) AS q, CAST(sum(s) AS BIGINT) AS t FROM c{p - 1} GROUP BY ALL),
+d{p} AS MATERIALIZED (SELECT v.g, read_idx, cid, CAST(sum(c * s) AS BIGINT) AS dot FROM v JOIN c{p - 1} x ON x.g = v.g AND x.kmer = v.kmer GROUP BY ALL),
+b{p} AS (SELECT vn.g, vn.read_idx, n.cid, (n.q - 2 * n.m * coalesce(dot, 0) + n.m * n.m * vn.q) / (n.m * {K} * (n.t + n.m * vn.t)) AS d FROM vn JOIN n{p} n ON n.g = vn.g LEFT JOIN d{p} d ON d.g = vn.g AND d.read_idx = vn.read_idx AND d.cid = n.cid),
+l{p} AS MATERIALIZED (SELECT g, read_idx, CASE WHEN min(d) > {radius} THEN {p << 48} + read_idx ELSE arg_min(cid, (d, cid)) END AS cid FROM b{p} GROUP BY g, read_idx),
+z{p} AS MATERIALIZED (SELECT g, cid, count(*) AS m FROM l{p} GROUP BY ALL),
+c{p} AS MATERIALIZED (SELECT v.g, l.cid, z.m, kmer, CAST(sum(c) AS BIGINT) AS s FROM v JOIN l{p} l ON l.g = v.g AND l.read_idx = v.read_idx JOIN z{p} z ON z.g = l.g AND z.cid = l.cid GROUP BY ALL
+  UNION ALL SELECT * FROM c{p - 1} ANTI JOIN z{p} USING (g, cid))"""
+    return out
+
+
 # pairs that share no k-mer count too: their distance is the sum of both norms
 _DISTANCES = """dots AS MATERIALIZED (SELECT a.uid AS ua, b.uid AS ub, CAST(sum(a.c * b.c) AS BIGINT) AS dot FROM km a JOIN km b ON a.kmer = b.kmer AND a.uid < b.uid GROUP BY ALL),
 apart AS (SELECT a.uid AS ua, b.uid AS ub, CAST(0 AS BIGINT) AS dot FROM n a JOIN n b ON a.uid < b.uid AND a.q + b.q <= 150),
@@ -572,6 +594,8 @@ SELECT cluster_id, kmer, round(score, 9) AS score FROM r WHERE k <= 40""",
     "dp_first_pass": f"""WITH {_B}, {_counts('rb', 'read_idx')}, f AS (SELECT kmer, c AS z FROM km WHERE read_idx = 0),
 x AS (SELECT read_idx, sum(c * c) AS q, sum(c) AS t, sum(coalesce(c * z, 0)) AS dot FROM km LEFT JOIN f USING (kmer) GROUP BY 1), y AS (SELECT sum(z) AS tz, sum(z * z) AS qz FROM f)
 SELECT read_idx, (q + qz - 2 * dot) / ({K} * (t + tz)) > 0.01 AS opens FROM x CROSS JOIN y""",
+    "dp_means_grouped": f"""{_dp_means("read_idx % 11", 0.15, 10)} SELECT g AS bin, min(read_idx) OVER (PARTITION BY g, cid) AS part, read_idx FROM l10""",
+    "dp_means_distributed": f"""{_dp_means("0", 0.2, 3)} SELECT cid AS cluster_id, read_idx FROM l3""",
     "lsh_chunks": f"""WITH {_A}, k AS (SELECT read_idx, read_idx % 3 AS key, read_idx % 2 AS second FROM ra), n AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM k),
 s AS (SELECT *, CASE WHEN n > 40 THEN second END AS sec FROM n), c AS (SELECT *, (row_number() OVER (PARTITION BY key, sec ORDER BY read_idx) - 1) // 40 AS chunk FROM s)
 SELECT min(read_idx) OVER (PARTITION BY key, sec, chunk) AS bin, read_idx FROM c""",
