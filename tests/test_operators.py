@@ -274,6 +274,23 @@ def test_lsh_choices_by_component_are_those_of_one_stream(spark, monkeypatch):
     assert lsh.by_component(keyed).select("component").distinct().count() > 17
 
 
+@pytest.mark.parametrize(("prunings", "few"), [(0, 0), (1, 0), (3, 0), (3, 1 << 16)])
+def test_lsh_keys_that_cannot_be_chosen_are_left_out(spark, monkeypatch, prunings, few):
+    monkeypatch.setattr(lsh, "FEW", few)
+    monkeypatch.setattr(lsh, "PRUNINGS", prunings)
+    rng = random.Random(31)
+    rows = [(i, [rng.choice([rng.randrange(60), 100 + rng.randrange(600), 5000 + rng.randrange(9000)]) * 17 + i % 17 for _ in range(6)]) for i in range(500)]
+    taken: dict[int, int] = {}
+    want = {}
+    for i, keys in rows:
+        want[i] = min(keys, key=lambda x: (taken.get(x, 0), x))
+        taken[want[i]] = taken.get(want[i], 0) + 1
+    keyed = spark.createDataFrame(rows, "read_idx long, keys array<long>").repartition(4)
+    assert dict(map(tuple, lsh.choose(keyed).collect())) == want
+    left = lsh.by_component(keyed).agg(F.sum(F.size("keys"))).first()[0]
+    assert left == sum(len(set(keys)) for _, keys in rows) if prunings == 0 else left < 1500
+
+
 def test_alignments_cell_by_cell():
     rng = random.Random(8)
     pairs = []
